@@ -67,19 +67,18 @@ def _(spark, sf):
     UNION ALL
     SELECT {AS_OF_SQL}, 'latency.' || operation || '.' || stat, round(value, 6),
            '{{"kind":"latency","operation":"' || operation || '","stat":"' || stat || '"}}'
-    FROM (SELECT operation, 'avg_ms' AS stat, avg(value_ms) AS value FROM latencies GROUP BY 1
-          UNION ALL SELECT operation, 'p50_ms', list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.50) AS INT) + 1]
-          FROM latencies GROUP BY 1
-          UNION ALL SELECT operation, 'p95_ms', list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.95) AS INT) + 1]
-          FROM latencies GROUP BY 1
-          UNION ALL SELECT operation, 'p99_ms', list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.99) AS INT) + 1]
-          FROM latencies GROUP BY 1)""", ("rule_events", "latencies"))
+    FROM (SELECT operation, avg(value_ms) AS avg_ms,
+                 list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.50) AS INT) + 1] AS p50_ms,
+                 list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.95) AS INT) + 1] AS p95_ms,
+                 list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.99) AS INT) + 1] AS p99_ms
+          FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY "offset" DESC) AS k FROM latencies)
+          WHERE k <= 10000 GROUP BY 1)
+    UNPIVOT (value FOR stat IN (avg_ms, p50_ms, p95_ms, p99_ms))""", ("rule_events", "latencies"))
 def _(spark, sf):
     counters = fx.rule_events(spark, sf).groupBy(
         F.concat(F.lit("events.type."), F.lower("event_type")).alias("name")
     ).agg(F.count("*").alias("value"))
-    # The whole table is kept here: at most 10 000 samples per operation would differ at larger scale.
-    stats = agg.latency_summary(fx.latencies(spark, sf), keep=1 << 30)
+    stats = agg.latency_summary(fx.latencies(spark, sf))
     return ingest.metric_rows(counters, stats, fx.AS_OF).withColumn("metric_value", F.round("metric_value", 6))
 
 
