@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import natural_id
 from ..settings import Settings
 from .ordered import first_arrival
-from .policy import mark_triggering, storage_decision
+from .policy import storage_decision
 from .rules import HIT_COLUMNS, to_events
 
-NULL_TIME = F.lit(None).cast("timestamp")
-NULL_NUMBER = F.lit(None).cast("double")
-
 
 def dedup_readings(readings: DataFrame) -> DataFrame:
     """First arrival per (time, device_id) with the number of copies seen."""
@@ -54,8 +51,8 @@ def _event(rows: DataFrame, event_type, severity, rule: str, message, metadata)
         natural_id("device_id", "time", F.lit(rule), "offset").alias("event_id"),
         "time", "device_id", event_type.alias("event_type"), severity.alias("severity"),
         F.lit(rule).alias("rule_name"), message.alias("message"),
-        NULL_TIME.alias("reading_time"), NULL_NUMBER.alias("event_value"),
-        NULL_NUMBER.alias("threshold_value"), metadata.alias("metadata"),
+        F.lit(None).cast("timestamp").alias("reading_time"), F.lit(None).cast("double").alias("event_value"),
+        F.lit(None).cast("double").alias("threshold_value"), metadata.alias("metadata"),
         F.lit(False).alias("acknowledged"), "offset",
     )
 
@@ -108,8 +105,3 @@ def metric_rows(counters: DataFrame, latencies: DataFrame, at: str) -> DataFrame
     )
     return counts.unionByName(lats)
 
-
-__all__ = [
-    "dedup_readings", "insert_if_absent", "stored_readings", "status_history", "offline_events",
-    "reported_events", "merge_hits", "metric_rows", "mark_triggering",
-]

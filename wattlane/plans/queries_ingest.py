@@ -661,3 +661,13 @@ def _(spark, sf):
 
 
 
+
+
+@query("a13_report_lines")
+def _(spark, sf):
+    from .report import report_lines
+
+    return report_lines(
+        _run_counters(spark, sf), agg.latency_summary(fx.latencies(spark, sf)),
+        agg.count_by(fx.rule_events(spark, sf), "severity"), agg.count_by(fx.quality_logs(spark, sf), "error_type"),
+    )
