@@ -69,10 +69,10 @@ class CooldownProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "t long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, ["_t", "offset"])
+        frame = _ordered(rows, ["at_us", "offset"])
         last = self.last.get()[0] if self.last.exists() else None
         keep = []
-        for t in frame["_t"]:
+        for t in frame["at_us"]:
             passes = last is None or t - last >= self.cooldown_us
             last = int(t) if passes else last
             keep.append(passes)
@@ -86,7 +86,7 @@ class CooldownProcessor(StatefulProcessor):
 def cooldown_stream(events: DataFrame, keys: Sequence[str], time: str, seconds: float) -> DataFrame:
     """Streaming form of the cooldown; ``events`` carry an offset."""
     fields = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
-    return events.withColumn("_t", F.unix_micros(time)).groupBy(*keys).transformWithStateInPandas(
+    return events.withColumn("at_us", F.unix_micros(time)).groupBy(*keys).transformWithStateInPandas(
         CooldownProcessor(int(seconds * 1_000_000), events.columns), fields, "append", "none"
     )
 
