@@ -101,7 +101,7 @@ def _pool(features: DataFrame, rows: int, seed: int) -> tuple[DataFrame, int]:
     return pool, pool.count()
 
 
-def _tree_rows(pool: DataFrame, pool_size: int, trees: int, samples: int, seed: int) -> DataFrame:
+def _tree_rows(pool: DataFrame, pool_size: int, trees: int, samples: int, seed: int, slots: int) -> DataFrame:
     """Exactly ``samples`` distinct pool rows per tree (all of a smaller pool)."""
     ticket = F.pmod(F.xxhash64("row_id", "tree", F.lit(seed)), F.lit(_HASH_RANGE))
     spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("ticket", ticket)
@@ -110,7 +110,7 @@ def _tree_rows(pool: DataFrame, pool_size: int, trees: int, samples: int, seed:
         share = min(1.0, (samples + 10 * math.sqrt(samples) + 10) / pool_size)
         spread = spread.where(F.col("ticket") < int(share * _HASH_RANGE) + 1)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("ticket", "row_id"))
-    return spread.withColumn("rank", rank).where(F.col("rank") <= samples)
+    return spread.repartition(slots, "tree").withColumn("rank", rank).where(F.col("rank") <= samples)
 
 
 def fit(
@@ -140,7 +140,10 @@ def fit(
         out.insert(0, "tree", int(key[0]))
         return out
 
-    nodes = cut_lineage(_tree_rows(pool, size, trees, samples, seed).groupBy("tree").applyInPandas(grow, NODES))
+    # Little data but much work per tree: spread the trees over all slots.
+    slots = max(1, min(trees, readings.sparkSession.sparkContext.defaultParallelism))
+    rows = _tree_rows(pool, size, trees, samples, seed, slots)
+    nodes = cut_lineage(rows.groupBy("tree").applyInPandas(grow, NODES))
     forest = Forest(nodes, mean, std, used, math.inf, settings.model_version, settings.nominal_voltage)
     scored = pool.withColumn("anomaly_score", _score_column(forest))
     cut = exact_quantiles(scored, "anomaly_score", [threshold_quantile]).first()["value"]

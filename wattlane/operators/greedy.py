@@ -18,12 +18,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import slot
 from ..session import cut_lineage
+from .groups import sorted_groups
 
 FAN = 16
 _NONE = np.iinfo(np.int64).min
@@ -44,10 +44,9 @@ def _plus(values, step):
     return values + step
 
 
-def step_function(frame: pd.DataFrame, span: int, rows: int, start: int) -> pd.DataFrame:
+def step_function(part: dict, span: int, rows: int, start: int) -> dict:
     """Compose a block's rows (or its children's step functions) into one."""
-    et, en = frame["et"].to_numpy(), frame["en"].to_numpy()
-    xt, xn = frame["xt"].to_numpy(), frame["xn"].to_numpy()
+    et, en, xt, xn = part["et"], part["en"], part["xt"], part["xn"]
     size = len(et)
     here = np.arange(size)
     jump = _find(et, en, xt + span, _plus(xn, rows))
@@ -61,14 +60,13 @@ def step_function(frame: pd.DataFrame, span: int, rows: int, start: int) -> pd.D
     last = jump[:first]
     keep = np.append(last[1:] != last[:-1], True)  # largest entry of each distinct end
     picked = here[: len(last)][keep]
-    return pd.DataFrame({"et": et[picked], "en": en[picked], "xt": xt[last[keep]], "xn": xn[last[keep]]})
+    return {"et": et[picked], "en": en[picked], "xt": xt[last[keep]], "xn": xn[last[keep]]}
 
 
-def walk_children(frame: pd.DataFrame, span: int, rows: int, at_time: int, at_count: int) -> pd.DataFrame:
+def walk_children(part: dict, span: int, rows: int) -> dict:
     """Threshold of every child block, given the threshold of the parent."""
-    child = frame["child"].to_numpy()
-    et, en = frame["et"].to_numpy(), frame["en"].to_numpy()
-    xt, xn = frame["xt"].to_numpy(), frame["xn"].to_numpy()
+    child, et, en, xt, xn = part["child"], part["et"], part["en"], part["xt"], part["xn"]
+    at_time, at_count = int(part["at_time"][0]), int(part["at_count"][0])
     bounds = np.flatnonzero(np.append(True, child[1:] != child[:-1]))
     ends = np.append(bounds[1:], len(child))
     out = []
@@ -78,7 +76,8 @@ def walk_children(frame: pd.DataFrame, span: int, rows: int, at_time: int, at_co
         if j < hi:
             at_time = int(xt[j]) + span
             at_count = _FAR if rows == _FAR else int(xn[j]) + rows
-    return pd.DataFrame(out, columns=["child", "at_time", "at_count"])
+    columns = np.array(out, dtype=np.int64).T
+    return {"child": columns[0], "at_time": columns[1], "at_count": columns[2]}
 
 
 def walk_rows(times, counts, span: int, rows: int, at_time: int, at_count: int) -> np.ndarray:
@@ -118,11 +117,10 @@ def chains(
     )
     narrow = cut_lineage(narrow)
     low, high = narrow.agg(F.min("t"), F.max("t")).first()
-    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    key_schema = ", ".join(f"{n} {kinds[n]}" for n in names)
+    key_schema = ", ".join(f"{n} string" for n in names)
     if low is None or high - low < span * fan:  # one block holds every key's rows
         base = narrow.withColumn("b0", F.lit(0).cast("long"))
-        return _rows(base, names, list(keys), kinds, span, cap, None)
+        return _rows(base, names, list(keys), key_schema, span, cap, None)
     widths = [span * fan]
     while (high - low) // widths[-1] >= fan:
         widths.append(widths[-1] * fan)
@@ -143,7 +141,7 @@ def chains(
     seeds = None
     for level in reversed(levels):
         seeds = _descend(level, names, key_schema, span, cap, seeds, fan)
-    return _rows(base, names, list(keys), kinds, span, cap, seeds)
+    return _rows(base, names, list(keys), key_schema, span, cap, seeds)
 
 
 def _open_count(cap: int) -> Column:
@@ -151,65 +149,50 @@ def _open_count(cap: int) -> Column:
 
 
 def _compose(below: DataFrame, names, key_schema, span, cap, width) -> DataFrame:
-    def run(key, frame):
-        frame = frame.sort_values(["et", "en"], kind="stable")
-        out = step_function(frame, span, cap, int(key[-1]) * width)
-        for name, value in zip(names, key):
-            out[name] = value
-        out["block"] = key[-1]
-        return out[[*names, "block", "et", "en", "xt", "xn"]]
-
-    return below.groupBy(*names, "block").applyInPandas(
-        run, f"{key_schema}, block long, et long, en long, xt long, xn long"
+    return sorted_groups(
+        below, [*names, "block"], ["et", "en"],
+        lambda key, part: step_function(part, span, cap, int(key[-1]) * width),
+        f"{key_schema}, block long, et long, en long, xt long, xn long",
     )
 
 
 def _descend(level: DataFrame, names, key_schema, span, cap, seeds, fan) -> DataFrame:
     """Thresholds of the blocks of ``level`` from those of their parents."""
     kids = level.withColumnRenamed("block", "child")
+    walked = f"{key_schema}, parent long, child long, at_time long, at_count long"
     if seeds is None:
-        groups = list(names)
-        kids = kids.withColumn("at_time", F.lit(_NONE)).withColumn("at_count", _open_count(cap))
+        kids = kids.withColumn("parent", F.lit(0).cast("long")).withColumn("at_time", F.lit(_NONE)).withColumn(
+            "at_count", _open_count(cap)
+        )
     else:
-        groups = [*names, "parent"]
         kids = kids.withColumn("parent", slot(F.col("child"), fan)).join(
-            seeds.withColumnRenamed("child", "parent"), groups
+            seeds.withColumnRenamed("child", "parent"), [*names, "parent"]
         )
-
-    def run(key, frame):
-        frame = frame.sort_values(["et", "en"], kind="stable")
-        out = walk_children(frame, span, cap, int(frame["at_time"].iloc[0]), int(frame["at_count"].iloc[0]))
-        for name, value in zip(names, key):
-            out[name] = value
-        return out[[*names, "child", "at_time", "at_count"]]
-
-    return kids.groupBy(*groups).applyInPandas(
-        run, f"{key_schema}, child long, at_time long, at_count long"
-    )
+    return sorted_groups(
+        kids, [*names, "parent"], ["et", "en"], lambda key, part: walk_children(part, span, cap), walked
+    ).drop("parent")
 
 
-def _rows(base: DataFrame, names, keys, kinds, span, cap, seeds) -> DataFrame:
+def _rows(base: DataFrame, names, keys, key_schema, span, cap, seeds) -> DataFrame:
     if seeds is None:
         tagged = base.withColumn("at_time", F.lit(_NONE)).withColumn("at_count", _open_count(cap))
     else:
         tagged = base.join(seeds.withColumnRenamed("child", "b0"), [*names, "b0"])
 
-    def run(key, frame):
-        frame = frame.sort_values(["t", "n"], kind="stable")
-        t, n = frame["t"].to_numpy(), frame["n"].to_numpy()
-        at_time, at_count = int(frame["at_time"].iloc[0]), int(frame["at_count"].iloc[0])
+    def walk(key, part):
+        t, n = part["t"], part["n"]
+        at_time, at_count = int(part["at_time"][0]), int(part["at_count"][0])
         owner = walk_rows(t, n, span, cap, at_time, at_count)
         earlier_t = at_time - span if at_time != _NONE else 0
         earlier_n = at_count - cap if cap != _FAR and at_count != _NONE else 0
-        data = {name: value for name, value in zip(keys, key)}
-        return pd.DataFrame({
-            **{k: [v] * len(t) for k, v in data.items()},
+        return {
             "t": t, "n": n,
             "pick_t": np.where(owner >= 0, t[owner], earlier_t),
             "pick_n": np.where(owner >= 0, n[owner], earlier_n),
-        })
+        }
 
-    schema = ", ".join(f"`{k}` {kinds[n]}" for k, n in zip(keys, names))
-    return tagged.groupBy(*names, "b0").applyInPandas(
-        run, f"{schema}, t long, n long, pick_t long, pick_n long"
+    out = sorted_groups(
+        tagged, [*names, "b0"], ["t", "n"], walk,
+        f"{key_schema}, b0 long, t long, n long, pick_t long, pick_n long",
     )
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "t", "n", "pick_t", "pick_n")

@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS, add_seconds, micros
 from . import greedy
+from .groups import sorted_groups
 from .ordered import HOUR_US, OFFSET_SPAN, keyed_index, neighbour
 
 
@@ -83,15 +84,16 @@ def silent_gaps(
     )
 
 
-def _fire(key, frame: pd.DataFrame, cooldown_us: int) -> pd.DataFrame:
-    frame = frame.sort_values("silent_us")
-    fired, last = [], None
-    for start, until in zip(frame["silent_us"], frame["until_us"]):
+def _fire(part: dict, cooldown_us: int) -> dict:
+    """Fold of one device's candidate silences, in time order."""
+    seen, fired, last = [], [], None
+    for since, start, until in zip(part["last_us"].tolist(), part["silent_us"].tolist(), part["until_us"].tolist()):
         at = start if last is None else max(start, last + cooldown_us)
-        fired.append(at if at < until else None)
-        last = at if at < until else last
-    frame["offline_us"] = pd.array(fired, dtype="Int64")
-    return frame[["device_id", "last_us", "offline_us"]].dropna(subset=["offline_us"])
+        if at < until:
+            seen.append(since)
+            fired.append(at)
+            last = at
+    return {"last_us": np.array(seen, dtype=np.int64), "offline_us": np.array(fired, dtype=np.int64)}
 
 
 def heartbeat_failures(
@@ -110,8 +112,9 @@ def heartbeat_failures(
         micros("silent_at").alias("silent_us"), micros("until").alias("until_us"),
     )
     cooldown_us = int(cooldown_seconds * MICROS)
-    fired = gaps.groupBy("device_id").applyInPandas(
-        lambda key, frame: _fire(key, frame, cooldown_us), "device_id STRING, last_us LONG, offline_us LONG"
+    fired = sorted_groups(
+        gaps, ["device_id"], ["silent_us"], lambda key, part: _fire(part, cooldown_us),
+        "device_id string, last_us long, offline_us long",
     )
     return fired.select(
         "device_id",

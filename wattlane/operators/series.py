@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import decimal_round, iso, seconds_between
 from .aggregates import in_range
-from .ordered import HOUR_US, latest, neighbour
+from .ordered import HOUR_US, neighbour
 
 
 def filter_events(events: DataFrame, *, device=None, event_type=None, severity=None, start=None, end=None) -> DataFrame:
@@ -82,12 +82,12 @@ def counter_rate(metrics: DataFrame, metric: str, label: str, *, slot_us: int =
 
 def latest_by_device(readings: DataFrame) -> DataFrame:
     """Latest reading of each device, rounded for display."""
-    rows = readings.select("device_id", "time", "voltage_v", "current_a", "power_w", "temperature_c")
-    last = latest(rows, ["device_id"], "time")
-    return last.select(
-        "device_id", F.col("time").alias("last_seen"),
-        *[decimal_round(c).alias(c) for c in ("voltage_v", "current_a", "power_w", "temperature_c")],
+    # One max_by per number keeps the aggregate hash-based; (time, device_id) is unique.
+    values = ("voltage_v", "current_a", "power_w", "temperature_c")
+    last = readings.groupBy("device_id").agg(
+        F.max("time").alias("last_seen"), *[F.max_by(c, "time").alias(c) for c in values]
     )
+    return last.select("device_id", "last_seen", *[decimal_round(c).alias(c) for c in values])
 
 
 def latest_value(df: DataFrame, value: str, *, rounded: bool = False) -> DataFrame:

@@ -89,16 +89,23 @@ def _whole(v: Column) -> Column:
     return F.when(number == F.floor(number), F.coalesce(exact, number.try_cast("bigint")))
 
 
-def _instant(v: Column) -> Column:
-    """ISO-8601 text (no offset means UTC) or an epoch number."""
-    text = F.trim(_text(v))
-    number = F.coalesce(F.when(_kind(v) != "STRING", _number(v)), text.try_cast("double"))
-    seconds = F.when(F.abs(number) <= SECONDS_LIMIT, number).otherwise(number / 1000.0)
+def _instant(text: Column, number: Column) -> Column:
+    """ISO-8601 text (no offset means UTC) or an epoch number, also as text.
+
+    Shapes are tested first: a cast that fails costs far more than a pattern.
+    """
+    trimmed = F.trim(text)
+    digits = F.when(trimmed.rlike(r"^[+-]?\d+(\.\d*)?$"), trimmed.try_cast("double"))
+    value = F.coalesce(number, digits)
+    seconds = F.when(F.abs(value) <= SECONDS_LIMIT, value).otherwise(value / 1000.0)
     epoch = F.timestamp_micros(F.round(seconds * 1e6).cast("bigint"))
-    shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?$")
-    return F.when(number.isNotNull(), epoch).when(
-        shaped, F.regexp_replace(F.upper(text), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+    shaped = trimmed.rlike(
+        r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?$"
     )
+    colon = F.when(
+        trimmed.rlike(r"[+-]\d{4}$") & (F.length(trimmed) > 10), F.regexp_replace(trimmed, r"(\d{2})$", ":$1")
+    ).otherwise(trimmed)
+    return F.when(shaped, F.upper(colon).try_cast("timestamp")).otherwise(epoch)
 
 
 def _well_formed(name: str) -> Column:
@@ -144,7 +151,8 @@ def typed(messages: DataFrame) -> DataFrame:
     """Typed columns of all message kinds (null where a field is absent or malformed)."""
     cols = [
         _text(F.col("doc.device_id")).alias("device_id"),
-        _instant(F.col("doc.timestamp")).alias("time"),
+        _text(F.col("doc.timestamp")).alias("_time_text"),
+        F.when(_kind(F.col("doc.timestamp")) != "STRING", _number(F.col("doc.timestamp"))).alias("_time_number"),
         *[_number(F.col(f"doc.{n}")).alias(n) for n in NUMBER_FIELDS],
         _whole(F.col("doc.sequence_no")).alias("sequence_no"),
         *[_text(F.col(f"doc.{n}")).alias(n) for n in TEXT_FIELDS if n != "severity"],
@@ -154,7 +162,9 @@ def typed(messages: DataFrame) -> DataFrame:
         F.coalesce(F.get_json_object("raw_payload", "$.schema_version"), F.lit("")).alias("schema_version"),
         (_kind(F.col("doc.schema_version")) == "STRING").alias("_version_is_text"),
     ]
-    return messages.select("*", *cols).withColumn("schema_error", _schema_error()).drop("_version_is_text")
+    raw = messages.select("*", *cols)
+    timed = raw.withColumn("time", _instant(F.col("_time_text"), F.col("_time_number")))
+    return timed.withColumn("schema_error", _schema_error()).drop("_version_is_text", "_time_text", "_time_number")
 
 
 def classify(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -102,6 +102,15 @@ def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all slots where the input has too few splits for costly row work (a small single file).
+
+    An input with enough splits is left as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def _envelope(view: DataFrame, kind: str, parity: int, body: list[str]) -> DataFrame:
     """JSON messages of one type, some corrupted by fixed rules on the id."""
     r = F.col("id") % 50
@@ -160,7 +169,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         1,
         ["event_type AS event_type", "severity AS severity", "message AS message"],
     )
-    return readings.unionByName(states).unionByName(reports)
+    return spread(readings.unionByName(states).unionByName(reports))
 
 
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

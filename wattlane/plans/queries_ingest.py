@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import devices, ingest, outbox, policy, rules, series, validate
+from ..session import cut_lineage
 from ..settings import Settings
 from ..sources.rules_config import rules_frame, shipped_rules
 from . import fixtures as fx
@@ -473,7 +474,7 @@ def _(spark, sf):
         UNION ALL SELECT 'events.type.' || type, count(*) FROM hits GROUP BY type)
     WHERE value > 0""", ("checked", "telemetry", "rule_list"))
 def _(spark, sf):
-    rows = checked(spark, sf)
+    rows = cut_lineage(checked(spark, sf))
     readings = validate.valid_readings(rows)
     hits = rules.threshold_hits(readings, shipped_rules())
     return agg.pipeline_counters(rows, ingest.stored_readings(readings, hits), hits)
@@ -503,7 +504,7 @@ def _(spark, sf):
 
 
 def _run_counters(spark, sf):
-    rows = checked(spark, sf)
+    rows = cut_lineage(checked(spark, sf))  # parsed once, read by several counters
     readings = validate.valid_readings(rows)
     stored = ingest.dedup_readings(readings).withColumn("store_raw", F.lit(True))
     return agg.pipeline_counters(rows, stored, fx.rule_events(spark, sf))
