@@ -158,8 +158,10 @@ def typed(messages: DataFrame) -> DataFrame:
         *[_text(F.col(f"doc.{n}")).alias(n) for n in TEXT_FIELDS if n != "severity"],
         F.when(F.col("doc.severity").isNull(), F.lit("INFO"))
         .otherwise(_text(F.col("doc.severity"))).alias("severity"),
-        # The text form keeps 1.0 apart from 1.
-        F.coalesce(F.get_json_object("raw_payload", "$.schema_version"), F.lit("")).alias("schema_version"),
+        # A number is compared by its text, which keeps 1.0 apart from 1.
+        F.coalesce(
+            _text(F.col("doc.schema_version")), F.get_json_object("raw_payload", "$.schema_version"), F.lit("")
+        ).alias("schema_version"),
         (_kind(F.col("doc.schema_version")) == "STRING").alias("_version_is_text"),
     ]
     raw = messages.select("*", *cols)
