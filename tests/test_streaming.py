@@ -164,6 +164,18 @@ def test_prune_keeps_recent_rows(spark, tmp_path):
     df = spark.sql("""SELECT timestamp '2024-01-01 12:00:00' + make_dt_interval(id) AS time, concat('d', id) AS device_id
                       FROM range(5)""")
     store.append("energy_readings", df)
-    store.prune("energy_readings", "2024-01-05 00:00:00", 2)
+    assert store.prune("energy_readings", "2024-01-05 18:00:00", 2) == ["2024-01-01", "2024-01-02", "2024-01-03"]
     left = {str(r.time)[:10] for r in store.scan("energy_readings").collect()}
-    assert left == {"2024-01-03", "2024-01-04", "2024-01-05"}
+    assert left == {"2024-01-04", "2024-01-05"}
+    assert store.prune("energy_readings", "2024-01-06 00:00:00", 2) == ["2024-01-04"]
+    assert store.scan("energy_readings").count() == 2
+
+
+def test_prune_of_the_outbox_keeps_open_rows(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    df = spark.sql("""SELECT timestamp '2024-01-01 12:00:00' + make_dt_interval(id DIV 2) AS created_at,
+                      id AS outbox_id, if(id = 1 OR id > 5, 'pending', 'sent') AS status FROM range(8)""")
+    store.append("alert_outbox", df)
+    assert store.prune("alert_outbox", "2024-01-10 00:00:00", 2) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert sorted(r.outbox_id for r in store.scan("alert_outbox").collect()) == [1, 6, 7]
+    assert store.prune("alert_outbox", "2024-01-10 00:00:00", 2) == []

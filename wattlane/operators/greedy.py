@@ -11,7 +11,8 @@ task would fail on a hot key.  Instead time is cut into blocks of ``fan`` spans:
   pick must reach; at the lowest level the picks themselves come out.
 
 The number of levels is log_fan(time span / chain span).  A group never covers
-more than ``fan`` spans of one key, whatever the key's share of the rows.
+more than ``fan`` spans of one key, whatever the key's share of the rows, and
+``fan`` shrinks to 2 where a key is dense.
 """
 from __future__ import annotations
 
@@ -26,6 +27,7 @@ from ..session import cut_lineage
 from .groups import sorted_groups
 
 FAN = 16
+BLOCK_ROWS = 2_000_000
 _NONE = np.iinfo(np.int64).min
 _FAR = np.iinfo(np.int64).max
 
@@ -116,7 +118,13 @@ def chains(
         (F.col(index) if index else F.lit(0)).cast("long").alias("n"),
     )
     narrow = cut_lineage(narrow)
-    low, high = narrow.agg(F.min("t"), F.max("t")).first()
+    low, high, densest = (
+        narrow.groupBy(*names, slot(F.col("t"), span))
+        .agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("c"))
+        .agg(F.min("a"), F.max("b"), F.max("c")).first()
+    )
+    # Narrower blocks for a dense key: a block should stay near BLOCK_ROWS rows.
+    fan = max(2, min(fan, BLOCK_ROWS // max(densest or 1, 1)))
     key_schema = ", ".join(f"{n} string" for n in names)
     if low is None or high - low < span * fan:  # one block holds every key's rows
         base = narrow.withColumn("b0", F.lit(0).cast("long"))

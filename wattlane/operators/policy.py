@@ -1,7 +1,7 @@
 """Storage, retention, escalation and alert policies."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import add_seconds
@@ -46,18 +46,18 @@ def retained_bytes(readings: DataFrame, payload: str, policies: dict[str, Settin
     return readings.agg(*aggs).selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (policy, readings, bytes)")
 
 
-def retain(df: DataFrame, as_of: str, days: float, *, time: str = "time", only_status: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that stay after pruning rows older than ``days``; ``days`` <= 0 keeps all.
-
-    With ``only_status``, an old row goes only if its status is one of these.
-    """
-    if days <= 0:
-        return df
+def expired(as_of: str, days: float, time: str = "time", only_status: tuple[str, ...] = ()) -> Column:
+    """Condition of rows older than ``days``; with ``only_status``, only in one of these states."""
     cutoff = add_seconds(F.lit(as_of).cast("timestamp"), -days * 86400)
     old = F.coalesce(F.col(time) < cutoff, F.lit(False))
     if only_status:
         old = old & F.coalesce(F.col("status").isin(*only_status), F.lit(False))
-    return df.where(~old)
+    return old
+
+
+def retain(df: DataFrame, as_of: str, days: float, *, time: str = "time", only_status: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that stay after pruning; ``days`` <= 0 keeps all."""
+    return df if days <= 0 else df.where(~expired(as_of, days, time, only_status))
 
 
 def retain_outbox(outbox: DataFrame, as_of: str, days: float) -> DataFrame:

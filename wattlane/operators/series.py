@@ -141,11 +141,26 @@ def with_iso_times(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: iso(n) for n in names})
 
 
-def reading_response(readings: DataFrame) -> DataFrame:
-    return with_iso_times(
-        readings.select("time", "device_id", "voltage_v", "current_a", "power_w", "temperature_c", "sequence_no"),
-        ["time"],
-    )
+# Response fields and time fields of each resource.
+RESPONSES = {
+    "reading": (("time", "device_id", "voltage_v", "current_a", "power_w", "temperature_c", "sequence_no"), ("time",)),
+    "device": (
+        ("device_id", "location", "device_type", "firmware_version", "status", "last_seen_at", "created_at", "updated_at"),
+        ("last_seen_at", "created_at", "updated_at"),
+    ),
+    "event": (
+        ("event_id", "time", "device_id", "event_type", "severity", "rule_name", "message", "reading_time",
+         "event_value", "threshold_value", "metadata", "acknowledged"),
+        ("time", "reading_time"),
+    ),
+    "status": (("time", "device_id", "status", "firmware_version", "ip_address", "rssi_dbm", "metadata"), ("time",)),
+}
+
+
+def response(rows: DataFrame, resource: str) -> DataFrame:
+    """Fields of one API resource, times as ISO text."""
+    fields, times = RESPONSES[resource]
+    return with_iso_times(rows.select(*fields), times)
 
 
 def acknowledge(events: DataFrame, ids: DataFrame, key: str = "event_id") -> DataFrame:

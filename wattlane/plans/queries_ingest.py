@@ -325,7 +325,25 @@ def _(spark, sf):
            CASE WHEN epoch_us(time) % 1000000 = 0 THEN '' ELSE strftime(time, '.%f') END || '+00:00' AS time,
            device_id, voltage_v, sequence_no FROM telemetry""", ("telemetry",))
 def _(spark, sf):
-    return series.reading_response(fx.telemetry(spark, sf)).select("time", "device_id", "voltage_v", "sequence_no")
+    return series.response(fx.telemetry(spark, sf), "reading").select("time", "device_id", "voltage_v", "sequence_no")
+
+
+@query("b21_device_response", """
+    SELECT device_id, location, device_type, firmware_version, status, CAST(NULL AS VARCHAR) AS last_seen_at,
+           '2023-12-31T00:00:00+00:00' AS created_at, '2023-12-31T00:00:00+00:00' AS updated_at
+    FROM stored_devices""", ("stored_devices",))
+def _(spark, sf):
+    return series.response(fx.stored_devices(spark, sf), "device")
+
+
+@query("b21_event_response", f"""
+    SELECT strftime(time, '%Y-%m-%dT%H:%M:%S') ||
+           CASE WHEN epoch_us(time) % 1000000 = 0 THEN '' ELSE strftime(time, '.%f') END || '+00:00' AS time,
+           device_id, event_type, severity, rule_name, event_value, threshold_value, acknowledged
+    FROM rule_events WHERE {RANGE_SQL}""", ("rule_events",))
+def _(spark, sf):
+    rows = series.filter_events(fx.rule_events(spark, sf), start=fx.RANGE_START, end=fx.RANGE_END)
+    return series.response(rows, "event").drop("event_id", "message", "reading_time", "metadata")
 
 
 @query("b22_acknowledge", """

@@ -5,33 +5,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from ..operators.policy import retain
+from ..functions.scalar import add_seconds
+from ..operators.policy import expired
 from ..schemas import KEYS, TIME_COLUMNS
 
+KEPT_VERSIONS = 3
+
 
 class TableStore:
     """Tables below one folder.
 
     History tables are partitioned by the date of their time column, so a time
-    range prunes whole folders and row groups.  State tables (devices, rules,
+    range prunes whole folders and row groups.  State tables (devices, samples,
     cooldown marks) are rewritten as a new version per batch.
     """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.base = base.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def exists(self, name: str) -> bool:
-        try:
-            self.spark.read.parquet(self.path(name)).schema
-            return True
-        except AnalysisException:
-            return False
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def _folders(self, name: str, prefix: str) -> list[str]:
+        """Values of the ``prefix=value`` folders of a table."""
+        if not self._exists(self.path(name)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path(name)))]
+        return sorted(n[len(prefix) + 1:] for n in names if n.startswith(f"{prefix}="))
 
     def scan(self, name: str, start=None, end=None) -> DataFrame:
         """Rows of a history table in [start, end]; also filters the date folders."""
@@ -55,51 +62,59 @@ class TableStore:
     def append_new(self, name: str, rows: DataFrame, keys: Sequence[str] | None = None) -> None:
         """Append the rows whose key is not stored yet; a replayed batch adds nothing.
 
-        Only the date folders that the batch touches are read: the key has the
-        table's time, or a hash of it, so a copy can only be on the same date.
+        Only the date folders that the batch touches are listed and read: the key has
+        the table's time, or a hash of it, so a copy can only be on the same date.
         """
         keys = list(keys or KEYS[name])
-        if self.exists(name):
-            time = TIME_COLUMNS[name]
-            dates = [r[0] for r in rows.select(F.to_date(time)).distinct().collect()]  # a few days per batch
-            held = self.spark.read.parquet(self.path(name)).where(F.col("date").isin(dates)).select(*keys)
-            rows = rows.join(held, keys, "left_anti").select(*rows.columns)
+        dates = [str(r[0]) for r in rows.select(F.to_date(TIME_COLUMNS[name])).distinct().collect()]  # days of a batch
+        held = [p for p in (f"{self.path(name)}/date={d}" for d in dates) if self._exists(p)]
+        if held:
+            rows = rows.join(self.spark.read.parquet(*held).select(*keys), keys, "left_anti").select(*rows.columns)
         self.append(name, rows)
 
     def prune(self, name: str, as_of: str, days: float) -> list[str]:
-        """Retention: rewrite the dates that reach past the cutoff; returns these dates.
+        """Retention; returns the dates that changed.
 
-        Only dates up to the cutoff are read, and each is rewritten with what stays.
+        A date without rows to keep is dropped whole.  A date that keeps some rows is
+        written beside the table and then swapped in; a swap that was interrupted is
+        finished by the next call.  Other dates are not touched.
         """
-        if days <= 0 or not self.exists(name):
+        if days <= 0 or not self._exists(self.path(name)):
             return []
-        time = TIME_COLUMNS[name]
-        only = ("sent", "discarded") if name == "alert_outbox" else ()
-        cutoff = F.to_date(F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400)))
-        old = self.spark.read.parquet(self.path(name)).where(F.col("date") <= cutoff)
-        touched = [str(r[0]) for r in old.select("date").distinct().collect()]
-        if touched:
-            staged = f"{self.path(name)}__keep"
-            retain(old, as_of, days, time=time, only_status=only).write.mode("overwrite").parquet(staged)
-            keep = self.spark.read.parquet(staged)
-            # A touched date without remaining rows becomes an empty folder.
-            for date in touched:
-                keep.where(F.col("date") == F.lit(date).cast("date")).drop("date").write.mode("overwrite").parquet(
-                    f"{self.path(name)}/date={date}"
-                )
-        return touched
+        staged = f"{self.path(name)}__keep"
+        self._finish_swap(name, staged)
+        states = ("sent", "discarded") if name == "alert_outbox" else ()
+        old = expired(as_of, days, TIME_COLUMNS[name], states)
+        last = F.to_date(add_seconds(F.lit(as_of).cast("timestamp"), -days * 86400))
+        rows = self.spark.read.parquet(self.path(name)).where(F.col("date") <= last)
+        per_date = rows.groupBy("date").agg(F.count_if(old).alias("out"), F.count_if(~old).alias("kept"))
+        changed = []
+        for date, kept in sorted((str(r["date"]), r["kept"]) for r in per_date.where("out > 0").collect()):  # days
+            folder = f"{self.path(name)}/date={date}"
+            if kept:
+                self.spark.read.parquet(folder).where(~old).write.mode("overwrite").parquet(f"{staged}/date={date}")
+            self._fs.delete(self._path(folder), True)
+            self._finish_swap(name, staged)
+            changed.append(date)
+        return changed
+
+    def _finish_swap(self, name: str, staged: str) -> None:
+        for date in self._folders(f"{name}__keep", "date"):
+            source, target = f"{staged}/date={date}", f"{self.path(name)}/date={date}"
+            if self._exists(f"{source}/_SUCCESS") and not self._exists(target):
+                self._fs.rename(self._path(source), self._path(target))
 
     def state(self, name: str, version: int, schema: str) -> DataFrame:
-        """State before ``version``: the newest older version, or an empty table."""
-        try:
-            versions = self.spark.read.parquet(self.path(name)).select("version").distinct()
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
-        last = versions.where(F.col("version") < version).agg(F.max("version")).first()[0]
-        if last is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path(name)}/version={last}")
+        """State before ``version``: the newest complete older version, or an empty table."""
+        older = sorted((int(v) for v in self._folders(name, "version") if int(v) < version), reverse=True)
+        for v in older:
+            if self._exists(f"{self.path(name)}/version={v}/_SUCCESS"):
+                return self.spark.read.schema(schema).parquet(f"{self.path(name)}/version={v}")
+        return self.spark.createDataFrame([], schema)
 
     def save_state(self, name: str, version: int, rows: DataFrame) -> None:
-        """Write one version; writing it again replaces it."""
+        """Write one version; writing it again replaces it.  The last few versions are kept."""
         rows.write.mode("overwrite").parquet(f"{self.path(name)}/version={version}")
+        for v in self._folders(name, "version"):
+            if int(v) <= version - KEPT_VERSIONS:
+                self._fs.delete(self._path(f"{self.path(name)}/version={v}"), True)
