@@ -167,8 +167,9 @@ def test_prune_keeps_recent_rows(spark, tmp_path):
     assert store.prune("energy_readings", "2024-01-05 18:00:00", 2) == ["2024-01-01", "2024-01-02", "2024-01-03"]
     left = {str(r.time)[:10] for r in store.scan("energy_readings").collect()}
     assert left == {"2024-01-04", "2024-01-05"}
-    assert store.prune("energy_readings", "2024-01-06 00:00:00", 2) == ["2024-01-04"]
-    assert store.scan("energy_readings").count() == 2
+    assert store.prune("energy_readings", "2024-01-06 00:00:00", 2) == []
+    assert store.prune("energy_readings", "2024-01-06 18:00:00", 2) == ["2024-01-04"]
+    assert store.scan("energy_readings").count() == 1
 
 
 def test_prune_of_the_outbox_keeps_open_rows(spark, tmp_path):
