@@ -15,10 +15,10 @@ def spark(tmp_path_factory):
     from wattlane.session import build_session
 
     session = build_session(
-        "wattlane-tests", "local[4]",
+        "wattlane-tests", "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
-            "spark.driver.memory": "4g",
+            "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
     )

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.scalar import add_seconds
 from ..operators import aggregates, devices, ingest, outbox, policy, rules, sequences, validate
 from ..schemas import DEVICES
+from ..session import cut_lineage
 from ..settings import Settings
 from ..sources.rules_config import Rule
 from ..sources.tables import TableStore
@@ -82,11 +83,14 @@ def queue_alerts(store: TableStore, events: DataFrame, at: str, version: int, se
 def process_batch(
     store: TableStore, messages: DataFrame, version: int, rule_list: Sequence[Rule], settings: Settings = Settings()
 ) -> None:
-    """All sinks of one batch of messages.  The parsed batch is kept once for all of them."""
-    checked = validate.validate_messages(validate.route(messages), settings).persist(StorageLevel.DISK_ONLY)
+    """All sinks of one batch of messages.
+
+    The parsed batch is written once to the checkpoint folder and read by every sink,
+    which survives the loss of executors and keeps the plans of the sinks short.
+    """
+    checked = cut_lineage(validate.validate_messages(validate.route(messages), settings))
     newest = checked.agg(F.max("received_at")).first()[0]
     if newest is None:
-        checked.unpersist()
         return
     at = newest.isoformat(sep=" ")
     readings = validate.valid_readings(checked)
@@ -121,7 +125,7 @@ def process_batch(
     counters = aggregates.pipeline_counters(checked, stored, events)
     empty = store.spark.createDataFrame([], "operation STRING, count LONG, avg_ms DOUBLE, p50_ms DOUBLE, p95_ms DOUBLE, p99_ms DOUBLE")
     store.append_new("system_metrics", ingest.metric_rows(counters, empty, at).withColumn("created_at", created))
-    for df in (stored, hits, checked):
+    for df in (stored, hits):
         df.unpersist()
 
 
