@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, langid
 from .tables import read
 
 QUERIES = {}
@@ -49,3 +49,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256",
                         decontamination.contaminated().alias("contaminated"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")

@@ -21,3 +21,8 @@ def row_key(*columns: Column) -> list[Column]:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bound_batches(spark: SparkSession, mb: int = 16) -> None:
+    """Hand rows to Python in batches of a bounded size, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
