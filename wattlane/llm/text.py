@@ -48,3 +48,10 @@ def hashes(items: Column) -> Column:
 def upto(n: Column) -> Column:
     """0 .. n-1, empty for n < 1."""
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def joined_pairs(h: Column, step: int) -> Column:
+    """Hashes of each item and the one ``step`` places on; three times over steps 1, 2, 4 gives 8-item windows."""
+    return let(h, lambda a: F.zip_with(
+        F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0))),
+        F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
