@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid
+from . import decontamination, langid, quality, tokens
 from .tables import read
 
 QUERIES = {}
@@ -57,3 +57,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
     return langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
