@@ -24,7 +24,7 @@ SYMBOLS = r"[#*$%&|<>]+"
 SHARES = {
     "symbol_share": (None, 0.05),
     "dup_line_share": (None, 0.2),
-    "repeat_share": (None, 0.1),
+    "repeat_share": (None, 0.25),
     "word_length": (2.0, 2.0),
 }
 
