@@ -22,22 +22,33 @@ from . import text as T
 from .tables import row_key, small_enough
 
 WINDOW = 13
-#: Words of a k-gram; a window of 13 words holds five.
-GRAM = 9
+#: Most words of a k-gram, a power of two; a window of 13 words holds six.
+GRAM = 8
 #: Benchmark fingerprints and hit documents up to these row counts are broadcast
 #: (some 50 bytes a row); beyond them the same joins shuffle.
 BROADCAST_FINGERPRINTS = 200_000
 BROADCAST_DOCUMENTS = 200_000
 
 
-def _kept(h: Column, start: Column, length: int) -> Column:
-    """Smallest k-gram hash of the window at ``start``, its offset in the low four bits."""
-    k = min(GRAM, length)
-    grams = [
-        F.xxhash64(*[F.get(h, start + (j + i)) for i in range(k)]).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(j))
-        for j in range(length - k + 1)
-    ]
-    return F.least(*grams) if len(grams) > 1 else grams[0]
+def _gram(length: int) -> int:
+    """Words of the k-grams of windows of ``length`` words: the largest power of two that fits."""
+    k = 1
+    while 2 * k <= min(GRAM, length):
+        k *= 2
+    return k
+
+
+def _grams(word_hashes: Column, k: int) -> Column:
+    step, h = 1, word_hashes
+    while step < k:
+        h, step = T.joined_pairs(h, step), 2 * step
+    return h
+
+
+def _kept(grams: Column, start: Column, count: int) -> Column:
+    """Smallest of ``count`` k-gram hashes from ``start`` on, its offset in the low four bits."""
+    own = [F.get(grams, start + j).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(j)) for j in range(count)]
+    return F.least(*own) if count > 1 else own[0]
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -56,7 +67,11 @@ def window_fingerprints(windows: DataFrame, lengths: list[int]) -> DataFrame:
     """(length, fp, offset, win): one fingerprint for each distinct window text."""
     folded = windows.select("length", "win").distinct().withColumn(
         "h", T.hashes(F.split(T.fold(F.col("win")), " ")))
-    kept = F.coalesce(*[F.when(F.col("length") == n, _kept(F.col("h"), F.lit(0), n)) for n in lengths])
+
+    def value(n: int) -> Column:
+        return T.let(_grams(F.col("h"), _gram(n)), lambda g: _kept(g, F.lit(0), n - _gram(n) + 1))
+
+    kept = F.coalesce(*[F.when(F.col("length") == n, value(n)) for n in lengths])
     return folded.select("length", kept.alias("v"), "win").select(
         "length", F.col("v").bitwiseAND(F.lit(-16)).alias("fp"),
         F.col("v").bitwiseAND(F.lit(15)).cast("int").alias("offset"), "win")
@@ -68,14 +83,17 @@ def document_fingerprints(hashed: DataFrame, length: int) -> DataFrame:
     ``hashed`` has the word hashes ``h`` and their number ``n``. A k-gram kept by several
     windows in a row is told once.
     """
-    row = hashed.select("*", F.posexplode(F.array_append("h", F.lit(0).cast("long"))).alias("s", "_"))
-    value = F.when(F.col("s") <= F.col("n") - length, _kept(F.col("h"), F.col("s"), length))
-    before = F.when((F.col("s") > 0) & (F.col("s") <= F.col("n") - length), _kept(F.col("h"), F.col("s") - 1, length))
-    kept = row.select("doc", "_k1", "_k2", "n", "s", value.alias("v"), before.alias("b"))
+    count = length - _gram(length) + 1
+    grams = hashed.select("doc", "_k1", "_k2", "n", _grams(F.col("h"), _gram(length)).alias("g"))
+    row = grams.select("*", F.posexplode(F.array_append("g", F.lit(0).cast("long"))).alias("s", "_"))
+    full = F.col("s") <= F.size("g") - count
+    kept = row.select("doc", "_k1", "_k2", "n", (F.col("s") == F.size("g")).alias("last"), "s",
+                      F.when(full, _kept(F.col("g"), F.col("s"), count)).alias("v"),
+                      F.when(full, _kept(F.col("g"), F.col("s") - 1, count)).alias("b"))
     at, was = F.col("s") + F.col("v").bitwiseAND(F.lit(15)), F.col("s") - 1 + F.col("b").bitwiseAND(F.lit(15))
-    return kept.where(F.col("s").eqNullSafe(F.col("n")) | (F.col("v").isNotNull() & (F.col("b").isNull() | (at != was)))).select(
-        "doc", "_k1", "_k2", "n", (F.col("s") == F.col("n")).alias("last"), at.cast("int").alias("at"),
-        F.col("v").bitwiseAND(F.lit(-16)).alias("fp"))
+    new = F.col("v").isNotNull() & ((F.col("s") == 0) | (at != was))
+    return kept.where(F.col("last") | new).select(
+        "doc", "_k1", "_k2", "n", "last", at.cast("int").alias("at"), F.col("v").bitwiseAND(F.lit(-16)).alias("fp"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
