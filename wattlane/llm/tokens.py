@@ -3,7 +3,7 @@
 Texts are cut into pre-tokens by the tokenizer's own pattern. The pieces of each distinct
 pre-token are counted once, and a document's tokens are the sum over its pre-token
 frequencies. Pre-tokens of a bounded head (at most ``HEAD`` of the commonest in a sample of
-``HEAD_TEXTS`` texts, some 30 bytes each) are joined by broadcast, so that only the rare
+about ``HEAD_TEXTS`` texts, some 30 bytes each) are joined by broadcast, so that only the rare
 rest is shuffled. The head is a cache: any head gives the same counts.
 
 Special strings inside a text are one token each, as the library counts them by default.
@@ -27,7 +27,7 @@ from .tables import bound_batches, row_key
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HEAD, HEAD_TEXTS = 100_000, 4_000
+HEAD, HEAD_TEXTS = 250_000, 16_000
 UNKNOWN_CHARACTER = r"\p{Cn}"
 
 
@@ -71,7 +71,8 @@ def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
     docs = docs.select("doc", "text", *row_key(F.col("doc"), F.col("text")))
     odd = F.col("text").rlike(UNKNOWN_CHARACTER)
 
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(HEAD_TEXTS)
+    share = min(1.0, HEAD_TEXTS / max(1, docs.count()))
+    sample = docs.where(F.pmod("_k1", F.lit(1_000_000)) < int(share * 1_000_000))
     head = sample.select(F.explode(pre_tokens(F.col("text"), special)).alias("piece")).groupBy("piece").count().orderBy(
         F.desc("count"), "piece").limit(HEAD).select("piece")
     head = cut_lineage(counted(head, path, "piece").select(F.col("piece").alias("known"), "n"))
