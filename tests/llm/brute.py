@@ -41,3 +41,35 @@ def quality(text):
     failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""),
             len(lines) - len(set(lines)), len(repeated), failed)
+
+
+def shingle_set(text):
+    w = BLANK.findall((text or "").translate(LOWER))
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def find(parent, x):
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def near_duplicates(docs, share=75):
+    """docs: (id, text), distinct ids. Rows (id, size, component)."""
+    sets = {i: shingle_set(t) for i, t in docs}
+    by_item = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by_item[x].append(i)
+    common = Counter()
+    for ids in by_item.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1:]:
+                common[min(a, b), max(a, b)] += 1
+    parent = {i: i for i in sets}
+    for (a, b), n in common.items():
+        if 100 * n >= share * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(parent, a), find(parent, b)))
+            parent[y] = x
+    return [(i, len(s), find(parent, i)) for i, s in sets.items()]
