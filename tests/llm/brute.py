@@ -73,3 +73,42 @@ def near_duplicates(docs, share=75):
             x, y = sorted((find(parent, a), find(parent, b)))
             parent[y] = x
     return [(i, len(s), find(parent, i)) for i, s in sets.items()]
+
+
+def line_shingles(line):
+    low = line.lower()
+    return {low[m.start():m.start() + 12] for m in re.finditer(r"(?<!\S)\S", low, re.ASCII)}
+
+
+def dropped_lines(docs, share=75):
+    """docs: (id, text), distinct ids. Per id: the sorted places of the lines that go."""
+    homes = {}
+    for i, text in docs:
+        for k, line in enumerate((text or "").split("\n")):
+            if re.search(r"\S", line, re.ASCII):
+                homes.setdefault(line.lower(), []).append((i, k))
+    texts = list(homes)
+    sets = [line_shingles(x) for x in texts]
+    by_item = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by_item[x].append(i)
+    common = Counter()
+    for ids in by_item.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1:]:
+                common[a, b] += 1
+    parent = {i: i for i in range(len(texts))}
+    for (a, b), n in common.items():
+        if 100 * n >= share * (len(sets[a]) + len(sets[b]) - n):
+            parent[find(parent, a)] = find(parent, b)
+    groups = defaultdict(list)
+    for i, x in enumerate(texts):
+        groups[find(parent, i)] += homes[x]
+    out = {i: [] for i, _ in docs}
+    for places in groups.values():
+        best = min(places)
+        for i, k in places:
+            if (i, k) != best:
+                out[i].append(k)
+    return {i: sorted(v) for i, v in out.items()}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import shingles as S
-from .components import components
+from .components import components, linked
 from .tables import bound_batches, small_enough
 
 #: Links have a similarity of at least 75 / 100.
@@ -34,8 +34,6 @@ SHARE = 75
 LEAST_ESTIMATE = 0.55
 #: Up to so many ids, the texts to verify are found by broadcast (16 bytes each).
 BROADCAST_IDS = 500_000
-#: Rounds of leaders at most before all remaining candidates are compared.
-ROUNDS = 6
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -123,14 +121,6 @@ def verified(pairs: DataFrame, documents: DataFrame, share: int = SHARE) -> Data
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _labelled(bands: DataFrame, links: DataFrame) -> DataFrame:
-    """(band, id, comp) of the bands whose classes lie in more than one component."""
-    labels = components(links)
-    rows = bands.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
-    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
-    return cut_lineage(rows.join(mixed.select("band"), "band"))
-
-
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -139,31 +129,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = cut_lineage(useful.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs")))
     members = useful.join(classes.select("d1", "d2", "n", F.col("id").alias("a")), ["d1", "d2", "n"]).select(
         "a", F.col("id").alias("b")).where(F.col("a") != F.col("b"))
-    # One id with several texts: its classes are joined through the members; compare one text each.
     texts = docs.where(F.col("id").isNotNull())
-    links = cut_lineage(members)
-    tried, rows = None, cut_lineage(band_rows(classes.dropDuplicates(["id"])).withColumn("comp", F.col("id")))
-    bands = rows.select("band", "id")
     chosen = classes.dropDuplicates(["id"])
-    many = 4 * max(1, classes.count())
-    for turn in range(ROUNDS):
-        order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long"), "id", "comp")
-        lead = rows.groupBy("band").agg(F.min(order).alias("lead"), F.count("*").alias("k")).where(F.col("k") > 1)
-        found = rows.join(lead, "band").where(F.col("comp") != F.col("lead.comp")).select(
-            F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        found = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
-        found = cut_lineage(found)
-        links = cut_lineage(links.unionByName(verified(_likely(found, chosen), texts)))
-        tried = found if tried is None else cut_lineage(tried.unionByName(found))
-        rows = _labelled(bands, links)
-        sizes = rows.groupBy("band", "comp").count().groupBy("band").agg(
-            F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        if (sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0) <= many:
-            break
-    other = rows.select("band", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    rest = rows.join(other, "band").where(F.col("comp") < F.col("comp_b")).select(
-        F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(_likely(rest, chosen), texts))
+    links = linked(band_rows(chosen), members, lambda pairs: verified(_likely(pairs, chosen), texts))
     labels = components(links).select(F.col("node").alias("id"), "root")
     return sketched.join(labels, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"),
