@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, neardup, quality, tokens
+from . import decontamination, langid, lines, mixing, neardup, quality, tokens
 from .tables import read
 
 QUERIES = {}
@@ -80,3 +80,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))

@@ -1,6 +1,9 @@
 """Reading tables and identifying rows."""
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,20 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def bound_batches(spark: SparkSession, mb: int = 16) -> None:
     """Hand rows to Python in batches of a bounded size, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session may do with a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="wattlane-tables-")
+    return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
