@@ -112,3 +112,36 @@ def dropped_lines(docs, share=75):
             if (i, k) != best:
                 out[i].append(k)
     return {i: sorted(v) for i, v in out.items()}
+
+
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def licenses(text):
+    w = ALNUM.findall((text or "").translate(LOWER))
+    places, labels = [], set()
+    for phrase, label in PHRASES.items():
+        p = phrase.split()
+        hits = [i for i in range(len(w)) if w[i:i + len(p)] == p]
+        places += hits
+        labels |= {label} if hits else set()
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def url_parts(url):
+    """host, path, rule, verdict of the rule or None."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host):], maxsplit=1)[0]
+    host = host.translate(LOWER)
+    best = None
+    for verdict, rule in URL_RULES:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = (verdict, rule)
+    return host, path, best and best[1], best and best[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, mixing, neardup, quality, tokens
+from . import decontamination, langid, licenses, lines, mixing, neardup, quality, tokens, urls
 from .tables import read
 
 QUERIES = {}
@@ -85,3 +85,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query("op3_url_filters")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+@query("op4_license_scans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
