@@ -145,3 +145,29 @@ def url_parts(url):
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
             best = (verdict, rule)
     return host, path, best and best[1], best and best[0]
+
+
+PII = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def personal(text):
+    """Spans (kind, start, end) of the base kinds, in order."""
+    out = []
+    for kind, pattern in PII.items():
+        for m in pattern.finditer(text or ""):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            if kind == "ip":
+                ok = all(int(p) <= 255 for p in m.group().split("."))
+            elif kind == "card":
+                twice = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(digits[::-1])]
+                ok = 13 <= len(digits) <= 19 and sum(twice) % 10 == 0
+            else:
+                ok = kind == "email" or 9 <= len(digits) <= 15
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, lines, mixing, neardup, quality, tokens, urls
+from . import decontamination, langid, licenses, lines, mixing, neardup, personal, quality, tokens, urls
 from .tables import read
 
 QUERIES = {}
@@ -95,3 +95,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scans")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(read(spark, sf_dir, "documents"))
