@@ -39,41 +39,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(bands: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 6) -> DataFrame:
-    """(a, b): ``links`` and all pairs of a band that ``verify`` accepts, up to paths.
+def linked(bands: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame],
+           compare: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+    """(a, b): ``links`` and all pairs of a band that are similar enough, up to paths.
 
-    ``bands`` has a row (band, id) for each band of an id. Within a band only a leader is
-    compared with the others, for a few rounds with other leaders; then all pairs whose ids
-    still lie in different components are compared. Pairs inside a component need no
-    comparison, so the components are those of all accepted pairs, and a large group of
-    alike rows never gives all its pairs.
+    ``bands`` has a row (band, id) for each band of an id. In each band the id that meets
+    most others is compared with the rest (``verify`` takes pairs), so a large group around
+    one text falls together at once. Of what is left, rows (band, id, comp) of bands with
+    several components go to ``compare``, which handles all pairs of different components
+    in blocks. Pairs inside a component need no comparison: the components are those of all
+    accepted pairs.
     """
-    lead = bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("k")).where(F.col("k") > 1)
-    first = cut_lineage(bands.join(lead.select("band", "lead"), "band"))
-    found = cut_lineage(first.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    shared, tried = first.select("band", "id"), found
-    most = 4 * found.count() + 1_000
-    links = cut_lineage(links.unionByName(verify(found)))
-    for turn in range(1, rounds + 1):
-        labels = components(links)
-        rows = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "band", "id", F.coalesce("root", "id").alias("comp"))
+    crowd = bands.groupBy("band").agg(F.count("*").alias("k")).where(F.col("k") > 1)
+    rows = cut_lineage(bands.join(crowd, "band"))
+    rows = cut_lineage(rows.join(rows.groupBy("id").agg(F.sum("k").alias("met")), "id").select(
+        "band", "id", "met", F.col("id").alias("comp")))
+    tried = None
+    for turn in range(rounds):
+        lead = rows.groupBy("band").agg(F.max(F.struct("met", "id", "comp")).alias("lead")) if turn else rows.groupBy(
+            "band").agg(F.max_by("id", "met").alias("l")).select("band", F.struct(F.col("l").alias("id"), F.col("l").alias("comp")).alias("lead"))
+        rest = cut_lineage(rows.join(lead.select("band", "lead.id", "lead.comp").toDF("band", "lead", "lead_comp"), "band").where(
+            F.col("id") != F.col("lead")))
+        found = rest.where(F.col("comp") != F.col("lead_comp")).select(
+            F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        tried = cut_lineage(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+        links = cut_lineage(links.unionByName(verify(tried)))
+        rows = rest.drop("comp").join(components(links).withColumnRenamed("node", "id"), "id", "left").select(
+            "band", "id", "met", F.coalesce("root", "id").alias("comp"))
         mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
         rows = cut_lineage(rows.join(mixed.select("band"), "band"))
-        sizes = rows.groupBy("band", "comp").count().groupBy("band").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        open_pairs = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if open_pairs <= most or turn == rounds:
-            break
-        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")
-        leaders = rows.groupBy("band").agg(F.min(order).alias("lead"))
-        found = cut_lineage(rows.join(leaders, "band").where(F.col("comp") != F.col("lead.comp")).select(
-            F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.unionByName(verify(found)))
-        tried = cut_lineage(tried.unionByName(found))
-    if not open_pairs:
-        return links
-    other = rows.select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-    rest = rows.join(other, "band").where(F.col("comp") < F.col("other_comp")).select(
-        F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return cut_lineage(links.unionByName(verify(cut_lineage(rest))))
+        if rows.isEmpty():
+            return links
+    return cut_lineage(links.unionByName(compare(rows.select("band", "id", "comp"))))
+
+
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Adds ``blk`` and ``blks``: rows of a band are dealt by hash into blocks of about ``size``."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / size).cast("int").alias("blks"))
+    return rows.join(sizes, "band").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks")).cast("int"))

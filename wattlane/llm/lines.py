@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import text as T
-from .components import components, linked
+from .components import components, in_blocks, linked
 from .tables import small_enough
 
 SHINGLE = r"(?<!\S)(?=(\S[\s\S]{0,11}))"
@@ -29,6 +29,8 @@ SHARE = 75
 BANDS = 8
 #: Up to so many candidate lines, their texts are found by broadcast (some 50 bytes each).
 BROADCAST_LINES = 300_000
+#: Lines of a block; two blocks are compared in one row.
+BLOCK = 100
 
 
 def split_lines(documents: DataFrame) -> DataFrame:
@@ -56,20 +58,45 @@ def band_keys(hashes: Column) -> Column:
     return F.array_compact(keys)
 
 
-def verified(pairs: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line keys whose full shingle sets are similar enough."""
-    pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    places = cut_lineage(homes.join(wanted, "k1").groupBy("doc").agg(F.collect_list(F.struct("k1", "pos")).alias("places")))
+def line_sets(keys: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(k1, s): the shingle hashes of the wanted lines, from the documents they stand in."""
+    places = cut_lineage(homes.join(keys, "k1").groupBy("doc").agg(F.collect_list(F.struct("k1", "pos")).alias("places")))
     few = small_enough(places.select(F.explode("places")), BROADCAST_LINES)
     texts = documents.join(F.broadcast(places) if few else places, "doc").select("places", F.split(F.lower("text"), "\n").alias("l"))
     found = T.let(F.col("l"), lambda l: F.transform("places", lambda p: F.struct(
         p["k1"].alias("k1"), F.get(l, p["pos"]).alias("line"))))
-    sets = cut_lineage(texts.select(F.explode(found).alias("p")).select("p.k1", shingle_hashes(F.col("p.line")).alias("s")))
+    return cut_lineage(texts.select(F.explode(found).alias("p")).select("p.k1", shingle_hashes(F.col("p.line")).alias("s")).dropDuplicates(["k1"]))
+
+
+def _similar(x: Column, y: Column) -> Column:
+    """Whether 100 times the common shingles is at least SHARE times all of both; sizes first."""
+    n, m = F.size(x), F.size(y)
+    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (
+        (100 + SHARE) * F.size(F.array_intersect(x, y)) >= SHARE * (n + m))
+
+
+def verified(pairs: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line keys whose full shingle sets are similar enough."""
+    pairs = cut_lineage(pairs)
+    wanted = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
+    sets = line_sets(wanted, homes, documents)
     joined = pairs.join(sets.select(F.col("k1").alias("a"), F.col("s").alias("x")), "a").join(
         sets.select(F.col("k1").alias("b"), F.col("s").alias("y")), "b")
-    counted = joined.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    return counted.where(100 * F.col("both") >= SHARE * (F.col("all") - F.col("both"))).select("a", "b").distinct()
+    return joined.where(_similar(F.col("x"), F.col("y"))).select("a", "b")
+
+
+def compared(rows: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b): the similar pairs of different components among the lines of each band."""
+    sets = line_sets(rows.select(F.col("id").alias("k1")).distinct(), homes, documents)
+    blocks = cut_lineage(in_blocks(rows, BLOCK).join(sets, F.col("id") == F.col("k1")).groupBy("band", "blk").agg(
+        F.collect_list(F.struct("id", "comp", "s")).alias("own")))
+    both = blocks.join(blocks.select("band", F.col("blk").alias("blk2"), F.col("own").alias("other")), "band").where(
+        F.col("blk") <= F.col("blk2"))
+    links = F.flatten(F.transform("own", lambda x: F.transform(
+        F.filter("other", lambda y: (x["comp"] < y["comp"]) & _similar(x["s"], y["s"]) | (
+            (x["comp"] > y["comp"]) & (F.col("blk") < F.col("blk2")) & _similar(x["s"], y["s"]))),
+        lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    return both.select(F.explode(links).alias("p")).select("p.a", "p.b").distinct()
 
 
 def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +109,7 @@ def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     homes = unique.select("k1", "home.doc", "home.pos")
     bands = unique.select(F.explode("bands").alias("band"), F.col("k1").alias("id"))
     none = unique.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links = linked(bands, none, lambda pairs: verified(pairs, homes, docs))
+    links = linked(bands, none, lambda pairs: verified(pairs, homes, docs), lambda rows: compared(rows, homes, docs))
     labels = components(links).withColumnRenamed("node", "k1")
     marked = unique.select("k1", "k2", "home", "copies").join(labels, "k1", "left").where(
         F.col("root").isNotNull() | (F.col("copies") > 1))

@@ -6,9 +6,9 @@ are similar. Documents of one shingle set form a class and go on as one. Classes
 a band of five registers are candidates; their similarity is first estimated jointly by
 likelihood, then confirmed on the full sets.
 
-Within a band only a leader is compared with the others, for a few rounds with other
-leaders; then all candidates that are still in different components are compared, so no
-link between components is left out, while large groups of copies never give all pairs.
+Within a band a leader is compared with the others; candidates that are then still in
+different components are compared block by block inside the tasks, each pair in the first
+band that it shares. No link between components is left out, and no join gives all pairs.
 
 Texts without words, null and empty ones are linked with nothing. Rows with a null id are
 not linked: their component is null and they are kept. Rows that share an id count as one
@@ -25,13 +25,17 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import shingles as S
-from .components import components, linked
+from .components import components, in_blocks, linked
 from .tables import bound_batches, small_enough
 
 #: Links have a similarity of at least 75 / 100.
 SHARE = 75
-#: Estimates below this (six standard errors under the threshold) are not verified.
-LEAST_ESTIMATE = 0.55
+#: Estimates below this (four standard errors under the threshold) are not verified.
+LEAST_ESTIMATE = 0.62
+#: Classes of a block; two blocks are compared at once.
+BLOCK = 200
+#: Shingle sets or registers of up to so many bytes are broadcast to the pairs.
+BROADCAST_BYTES = 32 << 20
 #: Up to so many ids, the texts to verify are found by broadcast (16 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -57,15 +61,24 @@ def sketches(documents: DataFrame) -> DataFrame:
     return documents.select("id", "text").mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, regs binary")
 
 
-def shingle_sets(documents: DataFrame) -> DataFrame:
-    """(id, items) of (id, text): the sorted shingle hashes as bytes."""
+def shingle_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items, regs) of the wanted ids among (id, text): sorted shingle hashes and registers as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = S.shingle_sets(_texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.large_binary()).cast(pa.binary())], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary()),
+                pa.array([S.registers(x).tobytes() for x in sets], pa.binary())], names=["id", "items", "regs"])
+
+    wanted = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    return cut_lineage(documents.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(
+        run, "id bigint, items binary, regs binary"))
+
 
-    return documents.select("id", "text").mapInArrow(run, "id bigint, items binary")
+def _near(df: DataFrame, column: str) -> DataFrame:
+    """A broadcast hint where all values of a column together are small."""
+    size = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -82,10 +95,16 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "regs").mapInArrow(run, "band bigint, id bigint")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose estimated similarity is high enough to verify."""
-    one = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    two = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    ids = _ends(pairs)
+    own = cut_lineage(classes.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "id", "left_semi").select("id", "n", "regs"))
+    one = _near(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "ra")
+    two = _near(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +122,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, documents: DataFrame, share: int = SHARE) -> DataFrame:
     """The pairs (a, b) of documents (id, text) whose full shingle sets are similar enough."""
     pairs = cut_lineage(pairs)
-    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    wanted = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    sets = cut_lineage(shingle_sets(documents.join(wanted, "id", "left_semi")))
+    sets = shingle_sets(documents, _ends(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +133,47 @@ def verified(pairs: DataFrame, documents: DataFrame, share: int = SHARE) -> Data
                 keep.append(100 * common >= share * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    joined = pairs.join(_near(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "x"), "a").join(
+        _near(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "y"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def compared(rows: DataFrame, documents: DataFrame, share: int = SHARE) -> DataFrame:
+    """(a, b): the similar pairs of different components among the classes of each band."""
+    sets = shingle_sets(documents, cut_lineage(rows.select("id").distinct()))
+    dealt = in_blocks(rows, BLOCK).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
+    dealt = dealt.select("band", "id", "comp", "blk", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"))
+    full = dealt.join(_near(sets, "items"), "id")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        band, x, y = (k.as_py() for k in key)
+        ids, comp, blk = (table.column(c).to_numpy() for c in ("id", "comp", "blk"))
+        comp = comp.copy()
+        items = [np.frombuffer(v, np.uint64) for v in table.column("items").to_pylist()]
+        n = np.array([len(v) for v in items], float)
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, S.REGISTERS)
+        keys = S.bands(regs)
+        order, links = np.arange(len(ids)), []
+        for i in order[blk == x]:
+            sizes = 100 * np.minimum(n[i], n) >= share * np.maximum(n[i], n)
+            own = (blk == y) & (comp != comp[i]) & sizes & ((order > i) | (x != y))
+            j = order[own]
+            same = keys[j] == keys[i]
+            j = j[keys[i][same.argmax(axis=1)] == band]  # the first band that the pair shares
+            if len(j):
+                j = j[S.likely_similarity(np.repeat(regs[i:i + 1], len(j), 0), regs[j], np.full(len(j), n[i]), n[j]) >= LEAST_ESTIMATE]
+            for k in j:
+                if comp[k] == comp[i]:
+                    continue
+                common = len(np.intersect1d(items[i], items[k], assume_unique=True))
+                if 100 * common >= share * (n[i] + n[k] - common):
+                    links.append((ids[i], ids[k]))
+                    comp[comp == comp[k]] = comp[i]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return full.groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -131,7 +184,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         "a", F.col("id").alias("b")).where(F.col("a") != F.col("b"))
     texts = docs.where(F.col("id").isNotNull())
     chosen = classes.dropDuplicates(["id"])
-    links = linked(band_rows(chosen), members, lambda pairs: verified(_likely(pairs, chosen), texts))
+    links = linked(band_rows(chosen), members, lambda pairs: verified(_likely(pairs, chosen), texts),
+                   lambda rows: compared(rows, texts))
     labels = components(links).select(F.col("node").alias("id"), "root")
     return sketched.join(labels, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"),
