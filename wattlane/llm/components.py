@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .tables import cut_lineage
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,9 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import text as T
-from .tables import row_key, small_enough
+from .tables import cut_lineage, row_key, small_enough
 
 WINDOW = 13
 #: Most words of a k-gram, a power of two; a window of 13 words holds six.

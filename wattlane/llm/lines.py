@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import text as T
 from .components import components, in_blocks, linked
-from .tables import small_enough
+from .tables import cut_lineage, small_enough
 
 SHINGLE = r"(?<!\S)(?=(\S[\s\S]{0,11}))"
 SHARE = 75

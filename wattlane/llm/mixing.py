@@ -24,9 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import text as T
-from .tables import small_enough
+from .tables import cut_lineage, small_enough
 
 BLOCKS = 4_096
 #: Sources up to this number are broadcast (some 100 bytes each).

@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import shingles as S
 from .components import components, in_blocks, linked
-from .tables import bound_batches, small_enough
+from .tables import bound_batches, cut_lineage, small_enough
 
 #: Links have a similarity of at least 75 / 100.
 SHARE = 75

@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .tables import row_key
+from .tables import cut_lineage, row_key
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Marks of a dot inside a domain and of a separator between digits; taken out of the text first.

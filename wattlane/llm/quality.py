@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import text as T
+from .tables import cut_lineage
 
 FENCE, SALTS, ACCURACY = 3.0, 16, 1_000
 SPAN = 8

@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .tables import bound_batches, row_key
+from .tables import bound_batches, cut_lineage, row_key
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

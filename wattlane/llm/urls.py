@@ -17,9 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import text as T
-from .tables import small_enough
+from .tables import cut_lineage, small_enough
 
 #: The list's rules, host and path together.
 RULES = [
