@@ -6,7 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut_lineage
+from .tables import cut_lineage, small_enough
+
+#: Bands with several ids, up to this number, are broadcast (some 30 bytes each).
+BROADCAST_BANDS = 1_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,29 +53,36 @@ def linked(bands: DataFrame, links: DataFrame, verify: Callable[[DataFrame], Dat
     in blocks. Pairs inside a component need no comparison: the components are those of all
     accepted pairs.
     """
-    crowd = bands.groupBy("band").agg(F.count("*").alias("k")).where(F.col("k") > 1)
-    rows = cut_lineage(bands.join(crowd, "band"))
-    rows = cut_lineage(rows.join(rows.groupBy("id").agg(F.sum("k").alias("met")), "id").select(
-        "band", "id", "met", F.col("id").alias("comp")))
-    tried = None
-    for turn in range(rounds):
-        lead = rows.groupBy("band").agg(F.max(F.struct("met", "id", "comp")).alias("lead")) if turn else rows.groupBy(
-            "band").agg(F.max_by("id", "met").alias("l")).select("band", F.struct(F.col("l").alias("id"), F.col("l").alias("comp")).alias("lead"))
-        rest = cut_lineage(rows.join(lead.select("band", "lead.id", "lead.comp").toDF("band", "lead", "lead_comp"), "band").where(
-            F.col("id") != F.col("lead")))
-        found = rest.where(F.col("comp") != F.col("lead_comp")).select(
-            F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        tried = cut_lineage(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.unionByName(verify(tried)))
-        rows = rest.drop("comp").join(components(links).withColumnRenamed("node", "id"), "id", "left").select(
-            "band", "id", "met", F.coalesce("root", "id").alias("comp"))
-        mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
-        rows = cut_lineage(rows.join(mixed.select("band"), "band"))
+    crowd = cut_lineage(bands.groupBy("band").agg(F.count("*").alias("k")).where(F.col("k") > 1))
+    rows = cut_lineage(bands.join(F.broadcast(crowd) if small_enough(crowd, BROADCAST_BANDS) else crowd, "band"))
+    met = rows.groupBy("id").agg(F.sum("k").alias("met"))
+    lead = cut_lineage(rows.join(met, "id").groupBy("band").agg(F.max_by("id", "met").alias("lead")))
+    rest = rows.join(lead, "band").where(F.col("id") != F.col("lead"))
+    tried = cut_lineage(rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+    links = cut_lineage(links.unionByName(verify(tried)))
+    rows = _open(rest, components(links))
+    for _ in range(rounds - 1):
         if rows.isEmpty():
             return links
+        lead = rows.groupBy("band").agg(F.max(F.struct("k", F.xxhash64("id"), "id", "comp")).alias("lead"))
+        rest = rows.join(lead, "band").where(F.col("id") != F.col("lead.id"))
+        found = rest.where(F.col("comp") != F.col("lead.comp")).select(
+            F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        links = cut_lineage(links.unionByName(verify(cut_lineage(found.join(tried, ["a", "b"], "left_anti")))))
+        rows = _open(rest, components(links))
+    if rows.isEmpty():
+        return links
     return cut_lineage(links.unionByName(compare(rows.select("band", "id", "comp"))))
 
 
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, id, k, comp): the rows of bands that still hold several components."""
+    marked = rows.select("band", "id", "k").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "band", "id", "k", F.coalesce("root", "id").alias("comp"))
+    mixed = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
+    return cut_lineage(marked.join(mixed.select("band"), "band"))
+
+
 def in_blocks(rows: DataFrame, size: int) -> DataFrame:
     """Adds ``blk`` and ``blks``: rows of a band are dealt by hash into blocks of about ``size``."""
     sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / size).cast("int").alias("blks"))
