@@ -81,7 +81,7 @@ def test_heartbeat_stream(spark, small, replay, collect, few):
     late = spark.createDataFrame([("zz", 10**9, "maintenance")], "device_id STRING, offset LONG, status STRING")
     # A last row an hour after the data moves the watermark past every deadline.
     source = source.unionByName(late.withColumn("time", F.lit("2024-01-01 03:00:00").cast("timestamp")))
-    got = collect(stateful.heartbeat_stream(replay(source, "offset")), "beats")
+    got = collect(stateful.heartbeat_stream(replay(source, "offset"), lateness="0 seconds"), "beats")
     want = sequences.heartbeat_failures(source, "2024-01-01 02:59:00")
     assert rows(got, "device_id", "last_seen", "offline_at") == rows(want, "device_id", "last_seen", "offline_at")
 

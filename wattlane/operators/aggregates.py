@@ -167,8 +167,8 @@ def pipeline_counters(
 ) -> DataFrame:
     """Counter table (name, value) of one run.
 
-    ``checked`` are validated messages, ``stored`` readings with ``copies`` and
-    ``store_raw``, ``events`` the created events.
+    ``checked`` are validated messages, ``stored`` readings with ``copies``,
+    ``kept`` and ``store_raw``, ``events`` the created events.
     """
     ok = F.col("error_type").isNull()
     kinds = (("telemetry", "telemetry"), ("status", "status"), ("events", "event"))
@@ -181,8 +181,8 @@ def pipeline_counters(
         totals[f"messages.{kind}"] = F.count_if(of_kind & ok)
     kept = {
         "readings.stored": F.count_if("store_raw"),
-        "readings.duplicates": F.sum(F.when(F.col("store_raw"), F.col("copies") - 1).otherwise(0)),
-        "readings.skipped_by_policy": F.sum(F.when(~F.col("store_raw"), F.col("copies")).otherwise(0)),
+        "readings.duplicates": F.sum(F.when(F.col("store_raw"), F.col("kept") - 1).otherwise(0)),
+        "readings.skipped_by_policy": F.sum(F.col("copies") - F.col("kept")),
     }
     by_severity = events.groupBy(F.concat(F.lit("events."), F.lower("severity")).alias("name"))
     by_type = events.groupBy(F.concat(F.lit("events.type."), F.lower("event_type")).alias("name"))

@@ -88,9 +88,8 @@ class Forest:
     nominal_voltage: float
 
 
-def _pool(features: DataFrame, rows: int, seed: int) -> tuple[DataFrame, int]:
-    """Training rows: a hash sample of about ``rows``, kept in the checkpoint folder."""
-    total = features.count()
+def _pool(features: DataFrame, total: int, rows: int, seed: int) -> tuple[DataFrame, int]:
+    """Rows that the trees are drawn from: a hash sample of about ``rows``."""
     share = 1.0 if total <= rows else rows / total
     keyed = features.select(
         F.xxhash64("device_id", "time", F.lit(seed)).alias("row_id"), *FEATURE_NAMES
@@ -117,14 +116,20 @@ def fit(
     readings: DataFrame, *, trees: int = 200, samples: int = 1024, seed: int = 42,
     train_rows: int = 50_000, threshold_quantile: float = 0.90, settings: Settings = Settings(),
 ) -> Forest:
-    """Scaler, forest and threshold from (normal) readings with device_id and time."""
-    pool, size = _pool(feature_rows(readings, settings.nominal_voltage), train_rows, seed)
-    if size == 0:
-        raise ValueError("no reading has all features")
-    stats = pool.agg(
+    """Scaler, forest and threshold from (normal) readings with device_id and time.
+
+    Scaler and threshold come from all rows; only the rows that trees are drawn from are
+    bounded, to about ``train_rows``.
+    """
+    features = feature_rows(readings, settings.nominal_voltage)
+    stats = features.agg(
+        F.count("*").alias("n"),
         *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURE_NAMES)],
         *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(FEATURE_NAMES)],
     ).first()
+    if not stats["n"]:
+        raise ValueError("no reading has all features")
+    pool, size = _pool(features, stats["n"], train_rows, seed)
     width = len(FEATURE_NAMES)
     mean = tuple(stats[f"m{i}"] for i in range(width))
     std = tuple(stats[f"s{i}"] or 1.0 for i in range(width))
@@ -145,7 +150,7 @@ def fit(
     rows = _tree_rows(pool, size, trees, samples, seed, slots)
     nodes = cut_lineage(rows.groupBy("tree").applyInPandas(grow, NODES))
     forest = Forest(nodes, mean, std, used, math.inf, settings.model_version, settings.nominal_voltage)
-    scored = pool.withColumn("anomaly_score", _score_column(forest))
+    scored = cut_lineage(features.select(_score_column(forest).alias("anomaly_score")))
     cut = exact_quantiles(scored, "anomaly_score", [threshold_quantile]).first()["value"]
     return Forest(nodes, mean, std, used, float(cut), settings.model_version, settings.nominal_voltage)
 

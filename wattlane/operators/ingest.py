@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import natural_id
 from ..settings import Settings
 from .ordered import first_arrival
-from .policy import storage_decision
+from .policy import mark_triggering, storage_decision
 from .rules import HIT_COLUMNS, to_events
 
 
@@ -28,13 +28,19 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str], or
 def stored_readings(readings: DataFrame, hits: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Deduplicated readings with the storage decision.
 
-    Rules see every copy, so a reading triggers if any of its copies did.
+    Rules and policy see every copy; the first copy that the policy keeps is stored, and
+    the first arrival stands for a reading of which none is kept. ``kept`` and ``copies``
+    count the copies that passed the policy and all of them.
     """
-    fired = hits.select("time", "device_id", F.lit(True).alias("_f")).distinct()
-    unique = dedup_readings(readings).join(fired, ["time", "device_id"], "left").withColumn(
-        "event_triggering", F.coalesce("_f", F.lit(False))
-    ).drop("_f")
-    return storage_decision(unique, settings)
+    copies = storage_decision(mark_triggering(readings, hits), settings)
+    keys = ["time", "device_id"]
+    order = F.when(F.col("store_raw"), F.col("offset"))
+    chosen = copies.groupBy(*keys).agg(
+        F.coalesce(F.min(order), F.min("offset")).alias("offset"), F.count("*").alias("copies"),
+        F.count_if("store_raw").alias("kept"),
+    ).select(F.col("time").alias("_t"), F.col("device_id").alias("_d"), F.col("offset").alias("_o"), "copies", "kept")
+    same = (F.col("offset") == F.col("_o")) & F.col("time").eqNullSafe(F.col("_t")) & F.col("device_id").eqNullSafe(F.col("_d"))
+    return copies.join(chosen, same).select(*copies.columns, "copies", "kept")
 
 
 def status_history(status: DataFrame) -> DataFrame:

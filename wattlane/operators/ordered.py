@@ -7,6 +7,8 @@ through one small row per (key, slot), built with partial aggregation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,11 +95,16 @@ def keyed_index(
     local = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(seq))
     return (
         rows.withColumn("_k", local)
-        .join(starts, [*keys, "_slot"])
+        .join(starts.toDF(*[f"_s_{c}" if c in (*keys, "_slot") else c for c in starts.columns]), _same([*keys, "_slot"]))
         .select(*df.columns, (F.col("_before") + F.col("_k")).alias(name), *([total] if total else []))
     )
 
 
+def _same(keys: Sequence[str]):
+    """Join condition of keys with their ``_s_`` copies; null keys are a key of their own."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: str, n: int, *, salts: int = 64) -> DataFrame:
     """Newest ``n`` rows per key.  Salted first cut, so a final group has at most salts*n rows."""
     salt = F.pmod(F.xxhash64(order), F.lit(salts))

@@ -66,6 +66,12 @@ def _no_hits(readings: DataFrame) -> DataFrame:
     ).select(*HIT_COLUMNS)
 
 
+def complete_spike(rule: Rule) -> bool:
+    """Whether a rule is an enabled spike rule with all it needs; others are ignored."""
+    return bool(rule.enabled and rule.type == "percentage_increase" and rule.field) and (
+        rule.percent is not None and rule.window_seconds is not None and rule.window_seconds >= 0)
+
+
 def spike_baseline(
     readings: DataFrame,
     field: str,
@@ -84,7 +90,7 @@ def spike_baseline(
 
     ``resets`` (device_id, reset_at) are instants that clear a device's samples.
     """
-    width = int(window_seconds * MICROS)
+    width = max(1, int(window_seconds * MICROS))  # a window of 0 s holds rows of one instant
     rows = readings.where(F.col(field).isNotNull()).select(
         "device_id", "offset", "time",
         micros(clock).alias("t"), F.col(field).cast("double").alias("x"),
@@ -196,8 +202,7 @@ def evaluate(
     parts += [
         spike_hits(readings, r, clock=clock, resets=resets)
         for r in rules
-        if r.enabled and r.type == "percentage_increase" and r.field in readings.columns
-        and r.percent is not None and r.window_seconds is not None
+        if complete_spike(r) and r.field in readings.columns
     ]
     return reduce(DataFrame.unionByName, parts)
 

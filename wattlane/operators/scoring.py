@@ -13,8 +13,11 @@ FEATURES = ("voltage_v", "current_a", "power_w", "temperature_c")
 
 
 def prediction_rows(scored: DataFrame, rule_hits: DataFrame | None = None) -> DataFrame:
-    """Prediction table rows of scored readings, with threshold and features as metadata."""
-    rows = scored
+    """Prediction table rows of scored readings, with threshold and features as metadata.
+
+    A reading without a score, for want of a feature, gives no row.
+    """
+    rows = scored.where(F.col("anomaly_score").isNotNull())
     if rule_hits is not None:
         fired = rule_hits.select("offset").distinct().withColumn("_f", F.lit(True))
         rows = rows.join(fired, "offset", "left")

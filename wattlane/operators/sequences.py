@@ -46,7 +46,7 @@ def batches(
         *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)],
         F.col("n").alias("_bn"), F.col("pick_n").alias("batch_id"),
     )
-    on = [F.col(k).cast("string") == F.col(f"_b{i}") for i, k in enumerate(keys)] + [F.col("_n") == F.col("_bn")]
+    on = [F.col(k).cast("string").eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)] + [F.col("_n") == F.col("_bn")]
     return rows.join(ids, on).select(*df.columns, "batch_id")
 
 

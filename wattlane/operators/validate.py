@@ -34,6 +34,10 @@ RANGED = (
 SECONDS_LIMIT = 2e10
 
 _ALL = sorted({f for fields in FIELD_ORDER.values() for f in fields})
+#: White space that JSON allows around a document.
+JSON_BLANKS = " \t\r\n"
+#: Decimal numbers as text; a suffix or a hexadecimal form is no number.
+NUMBER_TEXT = r"(?i)^\s*([+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?(nan|inf|infinity)|true|false)\s*$"
 _PARSED = "ARRAY<STRUCT<" + ", ".join(f"`{f}` VARIANT" for f in _ALL) + ">>"
 
 
@@ -59,9 +63,11 @@ def decode(messages: DataFrame) -> DataFrame:
     Exploding the array keeps the parse in one place of the plan: once per row.
     """
     text = F.make_valid_utf8(F.col("payload").cast("string"))
-    parsed = F.from_json(F.concat(F.lit("["), F.col("raw_payload"), F.lit("]")), _PARSED)
+    parsed = F.from_json(
+        F.concat(F.lit("["), F.col("raw_payload"), F.lit("]")), _PARSED, {"allowSingleQuotes": "false"}
+    )
     rows = messages.withColumn("raw_payload", text).withColumn("_a", parsed)
-    single = F.when((F.size("_a") == 1) & F.rtrim("raw_payload").endswith("}"), F.col("_a"))
+    single = F.when((F.size("_a") == 1) & F.rtrim("raw_payload", F.lit(JSON_BLANKS)).endswith("}"), F.col("_a"))
     return rows.select(*messages.columns, "raw_payload", F.explode_outer(single).alias("doc"))
 
 
@@ -80,7 +86,8 @@ def _text(v: Column) -> Column:
 
 def _number(v: Column) -> Column:
     """JSON numbers, booleans and numeric text as double; anything else null."""
-    return F.try_variant_get(v, "$", "double")
+    plain = F.try_variant_get(v, "$", "string").rlike(NUMBER_TEXT)
+    return F.when(plain, F.try_variant_get(v, "$", "double"))
 
 
 def _whole(v: Column) -> Column:

@@ -130,19 +130,12 @@ def _linear(center: np.ndarray, axes: np.ndarray) -> Reconstruct:
 
 def train_linear(
     readings: DataFrame, *, components: int = 16, window: int = 8, threshold_quantile: float = 0.95,
-    train_windows: int = 50_000, seed: int = 42,
 ) -> Verifier:
     """Linear autoencoder (principal components of standardised windows) from normal readings.
 
-    Training makes several passes, so it runs on a hash sample of about
-    ``train_windows`` windows kept in the checkpoint folder.
+    Training makes several passes over all windows, kept in the checkpoint folder.
     """
-    windows = window_rows(readings, window)
-    total = windows.count()
-    if total > train_windows:
-        ticket = F.pmod(F.xxhash64("device_id", "window_id", F.lit(seed)), F.lit(1 << 30))
-        windows = windows.where(ticket < int(train_windows / total * (1 << 30)))
-    windows = cut_lineage(windows)
+    windows = cut_lineage(window_rows(readings, window))
     item = windows.select(F.posexplode("x").alias("i", "v")).groupBy((F.col("i") % WIDTH).alias("f")).agg(
         F.avg("v").alias("m"), F.stddev_pop("v").alias("s")
     )

@@ -33,8 +33,8 @@ def window_metrics(
 
     power = sums.select(
         *keys,
-        or_zero(F.sqrt(n * F.col("svv") - F.col("sv") * F.col("sv")) / n * v_scale).alias("voltage_v"),
-        or_zero(F.sqrt(n * F.col("sii") - F.col("si") * F.col("si")) / n * i_scale).alias("current_a"),
+        or_zero(F.sqrt(F.greatest(n * F.col("svv") - F.col("sv") * F.col("sv"), zero)) / n * v_scale).alias("voltage_v"),
+        or_zero(F.sqrt(F.greatest(n * F.col("sii") - F.col("si") * F.col("si"), zero)) / n * i_scale).alias("current_a"),
         or_zero(
             (n * F.col("svi") - F.col("sv") * F.col("si")) / (n * n) * v_scale * i_scale
         ).alias("power_w"),

@@ -103,12 +103,8 @@ def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all slots where the input has too few splits for costly row work (a small single file).
-
-    An input with enough splits is left as it is, without a shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    """Deal messages out over all slots, as a topic's partitions would be."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _envelope(view: DataFrame, kind: str, parity: int, body: list[str]) -> DataFrame:
@@ -294,10 +290,10 @@ def delivery_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices known before this run: every third customer key, some with nulls."""
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr(
-        "concat('house_', lpad(CAST(c_custkey AS STRING),"
-        " greatest(4, length(CAST(c_custkey AS STRING))), '0')) AS device_id",
+    """Devices known before this run: a third of all keys, one for each customer, some with nulls."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('house_', lpad(CAST(c_custkey * 3 AS STRING),"
+        " greatest(4, length(CAST(c_custkey * 3 AS STRING))), '0')) AS device_id",
         "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS location",
         "'energy_node' AS device_type",
         "CASE WHEN c_custkey % 4 = 0 THEN 'fw-stored' END AS firmware_version",

@@ -146,15 +146,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE outbox_id % 3 WHEN 1 THEN 'status=500' WHEN 2 THEN 'slack down' END AS response
         FROM outbox WHERE status = 'processing'"""),
     "stored_devices": ((), """
-        SELECT 'house_' || lpad(CAST(c_custkey AS VARCHAR),
-                                greatest(4, length(CAST(c_custkey AS VARCHAR)))::INT, '0') AS device_id,
+        SELECT 'house_' || lpad(CAST(c_custkey * 3 AS VARCHAR),
+                                greatest(4, length(CAST(c_custkey * 3 AS VARCHAR)))::INT, '0') AS device_id,
                CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS location,
                'energy_node' AS device_type,
                CASE WHEN c_custkey % 4 = 0 THEN 'fw-stored' END AS firmware_version,
                'unknown' AS status, CAST(NULL AS TIMESTAMP) AS last_seen_at,
                TIMESTAMP '2023-12-31 00:00:00' AS created_at,
                TIMESTAMP '2023-12-31 00:00:00' AS updated_at
-        FROM customer WHERE c_custkey % 3 = 0"""),
+        FROM customer"""),
 }
 
 

@@ -187,9 +187,9 @@ def _(spark, sf):
            list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.95) AS INT) + 1] AS p95_ms,
            list_sort(list(value_ms))[CAST(floor((count(*) - 1) * 0.99) AS INT) + 1] AS p99_ms
     FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY "offset" DESC) AS k FROM latencies)
-    WHERE k <= 1500 GROUP BY 1""", ("latencies",))
+    WHERE k <= 10000 GROUP BY 1""", ("latencies",))
 def _(spark, sf):
-    return rounded(agg.latency_summary(fx.latencies(spark, sf), keep=1500), "avg_ms")
+    return rounded(agg.latency_summary(fx.latencies(spark, sf), keep=10_000), "avg_ms")
 
 
 @query("d23_prediction_summary", """

@@ -524,7 +524,7 @@ def _(spark, sf):
 def _run_counters(spark, sf):
     rows = cut_lineage(checked(spark, sf))  # parsed once, read by several counters
     readings = validate.valid_readings(rows)
-    stored = ingest.dedup_readings(readings).withColumn("store_raw", F.lit(True))
+    stored = ingest.dedup_readings(readings).withColumns({"store_raw": F.lit(True), "kept": F.col("copies")})
     return agg.pipeline_counters(rows, stored, fx.rule_events(spark, sf))
 
 

@@ -26,7 +26,7 @@ MARKS = "device_id STRING, event_type STRING, severity STRING, time TIMESTAMP"
 
 
 def _spikes(rule_list: Sequence[Rule]) -> list[Rule]:
-    return [r for r in rule_list if r.enabled and r.type == "percentage_increase" and r.field]
+    return [r for r in rule_list if rules.complete_spike(r)]
 
 
 def rule_hits(
@@ -49,10 +49,10 @@ def rule_hits(
     for rule in spikes:
         found = rules.spike_hits(both, rule)
         hits = hits.unionByName(found.join(new.select("offset"), "offset", "left_semi").select(*hits.columns))
-    newest = both.agg(F.max("received_at")).first()[0]
+    newest = both.agg(F.unix_micros(F.max("received_at"))).first()[0]
     if newest is not None:
         longest = max(r.window_seconds for r in spikes)
-        recent = both.where(F.col("received_at") >= add_seconds(F.lit(newest), -longest))
+        recent = both.where(F.col("received_at") >= add_seconds(F.timestamp_micros(F.lit(newest)), -longest))
         store.save_state("recent_samples", version, recent)
     return hits
 
@@ -89,10 +89,10 @@ def process_batch(
     which survives the loss of executors and keeps the plans of the sinks short.
     """
     checked = cut_lineage(validate.validate_messages(validate.route(messages), settings))
-    newest = checked.agg(F.max("received_at")).first()[0]
-    if newest is None:
+    # As text in UTC: a collected timestamp would be in the zone of the driver.
+    at = checked.agg(F.date_format(F.max("received_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    if at is None:
         return
-    at = newest.isoformat(sep=" ")
     readings = validate.valid_readings(checked)
     states = validate.valid_status(checked)
     reports = validate.valid_device_events(checked)

@@ -148,7 +148,7 @@ class HeartbeatProcessor(StatefulProcessor):
 
 
 def heartbeat_stream(
-    status: DataFrame, timeout_seconds: float = 30, cooldown_seconds: float = 300, lateness: str = "0 seconds"
+    status: DataFrame, timeout_seconds: float = 30, cooldown_seconds: float = 300, lateness: str = "86400 seconds"
 ) -> DataFrame:
     """Streaming form of the heartbeat failures, in event time."""
     rows = status.select("device_id", "time", "offset", "status", F.unix_micros("time").alias("t"))
