@@ -57,19 +57,28 @@ def rule_hits(
     return hits
 
 
-def queue_alerts(store: TableStore, events: DataFrame, at: str, version: int, settings: Settings) -> None:
-    """Enqueue alerts; the last alert time per key carries the cooldown across batches."""
+def queue_alerts(
+    store: TableStore, events: DataFrame, arrivals: DataFrame, at: str, version: int, settings: Settings
+) -> None:
+    """Enqueue alerts; the last alert per key carries the cooldown across batches.
+
+    The clock is the arrival (``arrivals`` has the received_at of each offset), so late
+    readings cannot restart a cooldown. Marks older than the cooldown are dropped.
+    """
     marks = store.state("alert_marks", version, MARKS)
     keys = ["device_id", "event_type", "severity"]
-    candidates = policy.alertable(events, settings)
-    # A mark is an alert that passed: as the first row of its key it is picked again.
-    seeded = candidates.unionByName(marks.withColumn("offset", F.lit(-1).cast("long")), allowMissingColumns=True)
-    passed = sequences.cooldown(seeded, keys, "time", "offset", settings.alert_cooldown_seconds).persist(
-        StorageLevel.DISK_ONLY
-    )
-    store.save_state("alert_marks", version, passed.groupBy(*keys).agg(F.max("time").alias("time")))
-    now = F.lit(at).cast("timestamp")
-    rows = outbox.fan_out(passed.where("offset >= 0"), settings.alert_channels).select(
+    now, cooldown = F.lit(at).cast("timestamp"), settings.alert_cooldown_seconds
+    came = arrivals.groupBy(F.col("offset").alias("_o")).agg(F.min("received_at").alias("received_at"))
+    candidates = policy.alertable(events, settings).join(came, F.col("offset") == F.col("_o"), "left").drop("_o").withColumn(
+        "received_at", F.coalesce("received_at", now))
+    quiet = marks.withColumnRenamed("time", "_mark")
+    due = candidates.join(quiet, keys, "left").where(
+        F.col("_mark").isNull() | (F.col("received_at") >= add_seconds("_mark", cooldown))).select(*candidates.columns)
+    passed = sequences.cooldown(due, keys, "received_at", "offset", cooldown).persist(StorageLevel.DISK_ONLY)
+    latest = marks.unionByName(passed.select(*keys, F.col("received_at").alias("time"))).groupBy(*keys).agg(
+        F.max("time").alias("time"))
+    store.save_state("alert_marks", version, latest.where(F.col("time") > add_seconds(now, -cooldown)))
+    rows = outbox.fan_out(passed.drop("received_at"), settings.alert_channels).select(
         F.xxhash64("event_id", "channel").alias("outbox_id"), "event_id", "channel",
         outbox.payload().alias("payload"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"),
         now.alias("next_attempt_at"), F.lit(None).cast("string").alias("last_error"),
@@ -120,7 +129,7 @@ def process_batch(
         devices.known_only(ingest.reported_events(reports), known)
     )
     store.append_new("events", events.withColumn("created_at", created).drop("offset"))
-    queue_alerts(store, events, at, version, settings)
+    queue_alerts(store, events, checked.select("offset", "received_at"), at, version, settings)
 
     counters = aggregates.pipeline_counters(checked, stored, events)
     empty = store.spark.createDataFrame([], "operation STRING, count LONG, avg_ms DOUBLE, p50_ms DOUBLE, p95_ms DOUBLE, p99_ms DOUBLE")
