@@ -137,7 +137,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """
     gone = dropped_lines(documents).toDF("__doc", "__gone")
     joined = documents.join(gone, F.col("doc_id") == F.col("__doc"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    kept = T.let(F.split("text", "\n"), lambda l: F.transform(
+        F.array_except(T.upto(F.size(l)), "__gone"), lambda i: F.get(l, i)))
     some = T.let(kept, lambda k: F.when(F.exists(k, lambda x: x.rlike(r"\S")), F.array_join(k, "\n")))
     out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(some)).where(
         F.col("__gone").isNull() | F.col("__text").isNotNull())
