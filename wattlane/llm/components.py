@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .tables import cut_lineage, small_enough
 
 #: Bands with several ids, up to this number, are broadcast (some 30 bytes each).
-BROADCAST_BANDS = 1_000_000
+BROADCAST_BANDS = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:

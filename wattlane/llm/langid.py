@@ -113,7 +113,7 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 8, seed: int = 7) -
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
     y = np.searchsorted(names, labels)
-    x = np.zeros((len(texts), WINDOW + PAD), np.int64)
+    x = np.zeros((len(texts), WINDOW + PAD), np.uint8)
     for i, t in enumerate(texts):
         cut = t[:WINDOW - PAD]
         x[i, :len(cut)] = np.frombuffer(cut, np.uint8)

@@ -27,7 +27,7 @@ SHINGLE = r"(?=(\S[\s\S]{0,11}))\S++"
 SHARE = 75
 BANDS = 8
 #: Up to so many candidate lines, their texts are found by broadcast (some 50 bytes each).
-BROADCAST_LINES = 1_000_000
+BROADCAST_LINES = 100_000
 #: Lines of a block; two blocks are compared in one row.
 BLOCK = 100
 

@@ -34,9 +34,9 @@ LEAST_ESTIMATE = 0.62
 #: Classes of a block; two blocks are compared at once.
 BLOCK = 200
 #: Shingle sets or registers of up to so many bytes are broadcast to the pairs.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Up to so many ids, the texts to verify are found by broadcast (16 bytes each).
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 100_000
 
 
 def _texts(column: pa.Array) -> list[bytes]:
