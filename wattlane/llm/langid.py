@@ -30,6 +30,8 @@ FILTERS = 8
 WINDOW, PAD = 256, 4
 #: Most labelled texts that a model is fitted on, and most labels (the most frequent ones).
 SAMPLE_ROWS, MAX_LABELS = 4_000, 1_000
+#: Small samples are gone through more often, for this many steps.
+LEAST_STEPS = 400
 UNKNOWN = "und"
 #: Bytes whose activations are held at once.
 CHUNK = 1 << 20
@@ -121,9 +123,10 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 8, seed: int = 7) -
     params += [np.zeros((len(WIDTHS), FILTERS)), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(names))), np.zeros(len(names))]
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = (len(y) / len(names) / np.maximum(np.bincount(y, minlength=len(names)), 1))[y]
-    for _ in range(epochs):
+    batches = max(1, len(y) // 64)
+    for _ in range(max(epochs, LEAST_STEPS // batches)):
         order = rng.permutation(len(y))
-        for part in np.array_split(order, max(1, len(y) // 64)):
+        for part in np.array_split(order, batches):
             bytes_, truth = x[part], y[part]
             rows, feats, places, at = np.arange(len(part))[:, None], [], [], 0
             for k, width in enumerate(WIDTHS):
