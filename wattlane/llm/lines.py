@@ -108,7 +108,7 @@ def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     homes = unique.select("k1", "home.doc", "home.pos")
     bands = unique.select(F.explode("bands").alias("band"), F.col("k1").alias("id"))
     none = unique.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links = linked(bands, none, lambda pairs: verified(pairs, homes, docs), lambda rows: compared(rows, homes, docs))
+    links = linked(bands, none, lambda pairs: verified(pairs, homes, docs), lambda rows: compared(rows, homes, docs), rounds=1)
     labels = components(links).withColumnRenamed("node", "k1")
     marked = unique.select("k1", "k2", "home", "copies").join(labels, "k1", "left").where(
         F.col("root").isNotNull() | (F.col("copies") > 1))
