@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash.
 
-A line's shingles are the 12-character strings that start at its words (lower case,
-shorter at the end): one for each word, wherever the line's words begin. Sixteen minima of
-the shingle hashes, one for each sixteenth of the hash range, make eight bands of two;
-lines that share a band are candidates, and pairs with a Jaccard similarity of at least 75
-in 100 of the full shingle sets are linked. Of each component of links the line of the
-smallest (document, place) stays; all others go, exact copies included.
+A line's shingles are the 8-character strings at all its places (lower case, blanks
+included); a shorter line is one shingle. The minima of the shingle hashes in 72 equal
+parts of the hash range make 18 bands of four; lines that share a band are candidates, and
+pairs with a Jaccard similarity of at least 75 in 100 of the full shingle sets are linked.
+Of each component of links the line of the smallest (document, place) stays; all others go,
+exact copies included.
 
 Two lines at the threshold share a band with a chance of 99.9 %. Exact copies are told by
 128 bits of hash and need no signature; the link graph names lines by 64 bits.
@@ -23,9 +23,14 @@ from . import text as T
 from .components import components, in_blocks, linked
 from .tables import cut_lineage, small_enough
 
-SHINGLE = r"(?=(\S[\s\S]{0,11}))\S++"
+#: Characters of a shingle. Unrelated lines of a language share many shorter strings: at 5
+#: they met in the bands some thousand times as often as at 8.
+LENGTH = 8
+SHINGLE = rf"(?s)(?=(.{{{LENGTH}}}))."
 SHARE = 75
-BANDS = 8
+BANDS, ROWS = 18, 4
+#: Width of the part of the hash range that gives one minimum.
+PART = (1 << 64) // (BANDS * ROWS)
 #: Up to so many candidate lines, their texts are found by broadcast (some 50 bytes each).
 BROADCAST_LINES = 100_000
 #: Lines of a block; two blocks are compared in one row.
@@ -43,28 +48,46 @@ def line_key() -> list[Column]:
 
 
 def shingle_hashes(line: Column) -> Column:
-    return F.sort_array(F.array_distinct(T.hashes(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))))
+    """The hash of the shingle at each place."""
+    return T.hashes(F.when(F.length(line) <= LENGTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))))
+
+
+def shingle_set(line: Column) -> Column:
+    return F.array_distinct(shingle_hashes(line))
 
 
 def band_keys(hashes: Column) -> Column:
-    """The hashes of the bands that hold a minimum; ``hashes`` is sorted, so bins follow each other."""
-    minima = T.let(hashes, lambda h: F.filter(h, lambda x, i: (i == 0) | (
-        F.shiftright(x, 60) != F.shiftright(F.get(h, i - 1), 60))))
-    keys = T.let(minima, lambda m: F.transform(
-        F.sequence(F.lit(-BANDS // 2), F.lit(BANDS // 2 - 1)),
-        lambda b: T.let(F.filter(m, lambda x: F.shiftright(x, 61) == b), lambda own: F.when(
-            F.size(own) > 0, F.xxhash64(b, own)))))
+    """The hashes of the bands that hold a minimum.
+
+    The lower ends of the parts are sorted in among the hashes; what follows an end is the
+    minimum of its part, or the next end if the part is empty. Only native functions touch
+    each hash, no lambda.
+    """
+    half = BANDS // 2
+    ends = F.array(*[F.lit(i * PART).cast("long") for i in range(-half * ROWS, half * ROWS)])
+
+    def key(s: Column, b: Column) -> Column:
+        first = F.array_position(s, b * (ROWS * PART))
+        last = F.when(b < half - 1, F.array_position(s, F.least(b + 1, F.lit(half - 1)) * (ROWS * PART))).otherwise(F.size(s) + 1)
+        return T.let(F.slice(s, first, last - first), lambda own: F.when(F.size(own) > ROWS, F.xxhash64(b, *[
+            F.get(own, F.array_position(own, (b * ROWS + j) * PART).cast("int")) for j in range(ROWS)])))
+
+    keys = T.let(F.sort_array(F.concat(hashes, ends)), lambda s: F.transform(
+        F.sequence(F.lit(-half).cast("long"), F.lit(half - 1).cast("long")), lambda b: key(s, b)))
     return F.array_compact(keys)
 
 
-def line_sets(keys: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(k1, s): the shingle hashes of the wanted lines, from the documents they stand in."""
+def line_texts(keys: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(k1, line): the wanted lines, from the documents they stand in.
+
+    Tasks cut them into shingles where they compare: the sets are several times as long.
+    """
     places = cut_lineage(homes.join(keys, "k1").groupBy("doc").agg(F.collect_list(F.struct("k1", "pos")).alias("places")))
     few = small_enough(places.select(F.explode("places")), BROADCAST_LINES)
     texts = documents.join(F.broadcast(places) if few else places, "doc").select("places", F.split(F.lower("text"), "\n").alias("l"))
     found = T.let(F.col("l"), lambda l: F.transform("places", lambda p: F.struct(
         p["k1"].alias("k1"), F.get(l, p["pos"]).alias("line"))))
-    return cut_lineage(texts.select(F.explode(found).alias("p")).select("p.k1", shingle_hashes(F.col("p.line")).alias("s")).dropDuplicates(["k1"]))
+    return cut_lineage(texts.select(F.explode(found).alias("p")).select("p.k1", "p.line").dropDuplicates(["k1"]))
 
 
 def _similar(x: Column, y: Column) -> Column:
@@ -78,23 +101,28 @@ def verified(pairs: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFr
     """The pairs (a, b) of line keys whose full shingle sets are similar enough."""
     pairs = cut_lineage(pairs)
     wanted = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    sets = line_sets(wanted, homes, documents)
-    joined = pairs.join(sets.select(F.col("k1").alias("a"), F.col("s").alias("x")), "a").join(
-        sets.select(F.col("k1").alias("b"), F.col("s").alias("y")), "b")
-    return joined.where(_similar(F.col("x"), F.col("y"))).select("a", "b")
+    texts = line_texts(wanted, homes, documents)
+    joined = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("k1").alias("b"), F.col("line").alias("y")), "b")
+    return joined.where(T.let(shingle_set(F.col("x")), lambda x: T.let(
+        shingle_set(F.col("y")), lambda y: _similar(x, y)))).select("a", "b")
 
 
 def compared(rows: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
     """(a, b): the similar pairs of different components among the lines of each band."""
-    sets = line_sets(rows.select(F.col("id").alias("k1")).distinct(), homes, documents)
-    blocks = cut_lineage(in_blocks(rows, BLOCK).join(sets, F.col("id") == F.col("k1")).groupBy("band", "blk").agg(
-        F.collect_list(F.struct("id", "comp", "s")).alias("own")))
+    texts = line_texts(rows.select(F.col("id").alias("k1")).distinct(), homes, documents)
+    blocks = cut_lineage(in_blocks(rows, BLOCK).join(texts, F.col("id") == F.col("k1")).groupBy("band", "blk").agg(
+        F.collect_list(F.struct("id", "comp", "line")).alias("own")))
     both = blocks.join(blocks.select("band", F.col("blk").alias("blk2"), F.col("own").alias("other")), "band").where(
         F.col("blk") <= F.col("blk2"))
-    links = F.flatten(F.transform("own", lambda x: F.transform(
-        F.filter("other", lambda y: (x["comp"] < y["comp"]) & _similar(x["s"], y["s"]) | (
+
+    def cut(block: str) -> Column:
+        return F.transform(block, lambda x: F.struct(x["id"].alias("id"), x["comp"].alias("comp"), shingle_set(x["line"]).alias("s")))
+
+    links = T.let(cut("own"), lambda own: T.let(cut("other"), lambda other: F.flatten(F.transform(own, lambda x: F.transform(
+        F.filter(other, lambda y: (x["comp"] < y["comp"]) & _similar(x["s"], y["s"]) | (
             (x["comp"] > y["comp"]) & (F.col("blk") < F.col("blk2")) & _similar(x["s"], y["s"]))),
-        lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+        lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))))
     return both.select(F.explode(links).alias("p")).select("p.a", "p.b").distinct()
 
 
