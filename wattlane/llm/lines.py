@@ -12,7 +12,7 @@ Two lines at the threshold share a band with a chance of 99.9 %. Exact copies ar
 
 Lines without a character other than white space are kept as they are. Null texts have no
 lines. Rows with a null id are not compared and keep all their lines; rows that share id
-and text count as one document. Empty tables give empty tables.
+and text count as one document, rows that share the id alone are ordered by a hash of the text. Empty tables give empty tables.
 """
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components, in_blocks, linked
-from .tables import cut_lineage, small_enough
+from .tables import cut_lineage, row_key, small_enough
 
 #: Characters of a shingle. Unrelated lines of a language share many shorter strings: at 5
 #: they met in the bands some thousand times as often as at 8.
@@ -126,9 +126,14 @@ def compared(rows: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFra
     return both.select(F.explode(links).alias("p")).select("p.a", "p.b").distinct()
 
 
+def document(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What names a document: its id, then a hash of id and text."""
+    return F.struct(F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text_col)))
+
+
 def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, dropped): the places of the lines that go, of each document that loses some."""
-    docs = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
+    docs = documents.where(F.col(id_col).isNotNull()).select(document(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     lines = split_lines(docs)
     sketched = lines.select("doc", "pos", *line_key(), band_keys(shingle_hashes(F.col("line"))).alias("bands"))
     unique = cut_lineage(sketched.groupBy("k1", "k2").agg(
@@ -152,8 +157,8 @@ def report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_kept, dropped): lines that are not blank, and the places of those that go."""
     gone = cut_lineage(dropped_lines(documents))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
-    return documents.select("doc_id", F.size(lines).cast("long").alias("n_lines")).join(
-        gone.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select(
+    return documents.select("doc_id", document().alias("doc"), F.size(lines).cast("long").alias("n_lines")).join(
+        gone, "doc", "left").select(
         "doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("dropped"), F.lit(0))).cast("long").alias("n_kept"),
         F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
@@ -164,7 +169,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     A document all of whose lines go is left out; ``n_chars`` follows the new text.
     """
     gone = dropped_lines(documents).toDF("__doc", "__gone")
-    joined = documents.join(gone, F.col("doc_id") == F.col("__doc"), "left")
+    joined = documents.join(gone, document() == F.col("__doc"), "left")
     kept = T.let(F.split("text", "\n"), lambda l: F.transform(
         F.array_except(T.upto(F.size(l)), "__gone"), lambda i: F.get(l, i)))
     some = T.let(kept, lambda k: F.when(F.exists(k, lambda x: x.rlike(r"\S")), F.array_join(k, "\n")))
