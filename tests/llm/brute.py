@@ -2,9 +2,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BLANK = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -171,3 +175,72 @@ def personal(text):
             if ok:
                 out.append((kind, m.start(), m.end()))
     return out
+
+
+def fingerprint(text):
+    words = BLANK.findall((text or "").translate(LOWER))
+    n = max(1, len(words) - 2) if words else 0
+    grams = [" ".join(words[i:i + 3]) for i in range(n)]
+    hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash(docs):
+    """docs: (id, text), distinct ids. Rows (id, fingerprint, component)."""
+    prints = {i: fingerprint(t) for i, t in docs}
+    parent = {i: i for i in prints}
+    for a, x in prints.items():
+        for b, y in prints.items():
+            if a < b and bin(x ^ y).count("1") <= 2:
+                p, q = sorted((find(parent, a), find(parent, b)))
+                parent[q] = p
+    return [(i, f, find(parent, i)) for i, f in prints.items()]
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return a[k + (len(a) >= len(b)):] == b[k + (len(b) >= len(a)):]
+
+
+def spelling(docs):
+    """docs: (id, text). Rows (word, form, root, n, n_near, form_n)."""
+    seen = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            seen[run[:h % len(run)] + run[h % len(run) + 1:] if h % 31 == 0 else run] += 1
+    n = {w: k for w, k in seen.items() if len(w) >= 7 and k >= 2}
+    near = {w: [x for x in n if one_edit(w, x)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
+
+
+def hard_negatives(rows, positives=5, negatives=10, low=30, high=90):
+    """rows: (id, vector, label). Sorted rows (anchor, positive, rank, negative, positive score, negative score)."""
+    use = []
+    for i, v, label in rows:
+        if i is not None and v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v):
+            use.append((i, [math.floor(max(-2.0**22, min(2.0**22, 256 * x))) for x in v], label))
+    out = []
+    for a, v, label in use:
+        if a % 100:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i, lab) for i, w, lab in use if i != a)
+        for s, p, _ in [x for x in scored if x[2] == label][:positives]:
+            wrong = [(t, i) for t, i, lab in scored if lab != label and low * -s <= 100 * -t <= high * -s]
+            out += [(a, p, k, i, -s, -t) for k, (t, i) in enumerate(wrong[:negatives], 1)]
+    return sorted(out)

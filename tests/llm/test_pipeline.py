@@ -33,7 +33,7 @@ def test_stages(spark, small):
 def test_registered():
     names = set(entry_points.queries())
     assert {"pipeline"} | set(queries.QUERIES) <= names
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
