@@ -8,9 +8,10 @@ pivots are the disjoint bigrams of the prefix with the smallest sum of frequenci
 dynamic programming over their places.
 
 A surviving pivot lies before or after the edit: its place moves by nothing or by the change
-of length, and the part of the word on its unedited side is the same in both words. Place,
-length and that part are all in the join key, so the words around a frequent bigram do not
-meet each other. Candidates are verified by edit distance in the join itself.
+of length, and the part of the word on its unedited side is the same in both words, as is one
+half of the other part. Place, length and those parts are all in the join key, so the words
+around a frequent bigram do not meet each other. Candidates are verified by edit distance in
+the join itself.
 
 Words are runs of the letters A-Z, a-z and U+00C0 to U+00FF, of any length: a run over a
 whole text is one word. Null and empty texts have no words. Repeated rows count each, ties
@@ -38,6 +39,8 @@ GRAM, EDITS = 2, 1
 PREFIX = GRAM * EDITS + 1
 #: A form is at least so many times as frequent as its variants.
 TIMES = 10
+#: A part with the edit is cut in halves if it is longer than this.
+WHOLE = 3
 #: (change of length, move of the place, whether the equal part lies before the gram).
 MOVES = [(0, 0, True), (0, 0, False), (1, 0, True), (1, 1, False), (-1, 0, True), (-1, -1, False)]
 
@@ -112,23 +115,36 @@ def grams(vocab: DataFrame) -> DataFrame:
     return vocab.select("word").mapInArrow(run, "word string, pos int, last int, pivot boolean")
 
 
-def _key(pos: Column, length: Column, before: Column, word: Column, gram_at: Column) -> Column:
-    """A hash of the gram, its place, the word's length, and the part of the word on one side of the gram."""
-    part = F.when(before, F.substring(word, F.lit(1), gram_at + GRAM)).otherwise(F.substring(word, gram_at + 1, F.length(word)))
-    return F.xxhash64(pos, length, before, part)
+def _keys(df: DataFrame, pos: Column, length: Column, before: Column, *rest: str) -> DataFrame:
+    """Join keys of words with a gram at ``pos``, for partners with theirs at the given place and length.
+
+    ``before`` tells that the edit comes after the gram, and so what comes before it is equal.
+    Of the part with the edit, where it is long, one half is equal, too: the one next to the
+    gram (half 0) or the one at the word's end (half 1). All that is equal is in the key.
+    """
+    own, word = F.col("pos"), F.col("word")
+    placed = df.select(*rest, "word", own, pos.alias("p"), length.alias("len"), before.alias("before"))
+    edited = F.when(F.col("before"), F.col("len") - F.col("p") - GRAM).otherwise(F.col("p"))
+    split = edited > WHOLE
+    halved = placed.withColumn("h", F.when(split, F.floor(edited / 2).cast("int")).otherwise(0)).withColumn(
+        "half", F.explode(F.when(split, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    near = F.when(F.col("half") == 0, F.col("h")).otherwise(0)
+    far = F.col("h") - near
+    equal = F.when(F.col("before"), F.substring(word, F.lit(1), own + GRAM + near)).otherwise(
+        F.substring(word, own + 1 - near, F.length(word)))
+    end = F.when(F.col("before"), F.right(word, far)).otherwise(F.left(word, far))
+    return halved.select(*rest, "word", F.xxhash64("p", "len", "before", "half", equal, end).alias("key"))
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
     """(word, near), both ways: the pairs of words of ``vocab`` that are exactly one edit apart."""
     found = cut_lineage(grams(vocab))
-    word, pos = F.col("word"), F.col("pos")
-    side = F.explode(F.array(F.lit(True), F.lit(False))).alias("before")
-    listed = found.select("word", "pos", "last", side).select(
-        F.col("word").alias("near"), F.col("last").alias("last2"),
-        _key(pos, F.length("word"), F.col("before"), word, pos).alias("key"))
+    side = F.explode(F.array(F.lit(True), F.lit(False))).alias("side")
+    listed = _keys(found.select("word", "pos", "last", side), F.col("pos"), F.length("word"), F.col("side"), "last").select(
+        F.col("word").alias("near"), F.col("last").alias("last2"), "key")
     moves = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(m).alias("m"), F.lit(b).alias("b")) for d, m, b in MOVES])).alias("x")
-    asked = found.where("pivot").select("word", "pos", "last", moves).select(
-        "word", "last", _key(pos + F.col("x.m"), F.length("word") + F.col("x.d"), F.col("x.b"), word, pos).alias("key"))
+    asked = _keys(found.where("pivot").select("word", "pos", "last", moves),
+                  F.col("pos") + F.col("x.m"), F.length("word") + F.col("x.d"), F.col("x.b"), "last")
     one_edit = F.levenshtein("word", "near", EDITS) == EDITS
     pairs = asked.join(listed, "key").where((F.col("last") <= F.col("last2")) & one_edit)
     pairs = cut_lineage(pairs.select(F.least("word", "near").alias("a"), F.greatest("word", "near").alias("b")).distinct())
