@@ -32,12 +32,12 @@ def run(query, spark, sf_dir: str) -> float:
 
 
 def run_ingest(spark, sf_dir: str) -> tuple[float, int]:
-    """All sinks of one batch of messages, from JSON to tables."""
+    """All sinks of one batch of messages, from JSON through the device machine to tables."""
     from wattlane.plans import fixtures as fx
     from wattlane.session import use_utc
     from wattlane.sources.rules_config import shipped_rules
-    from wattlane.sources.tables import TableStore
-    from wattlane.streaming.ingest import process_batch
+    from wattlane.sources.messages import stream_messages
+    from wattlane.streaming.ingest import start_ingest
 
     use_utc(spark)
     work = tempfile.mkdtemp(prefix="wattlane-bench-")
@@ -45,7 +45,7 @@ def run_ingest(spark, sf_dir: str) -> tuple[float, int]:
     messages = spark.read.parquet(f"{work}/messages")
     count = messages.count()
     start = time.perf_counter()
-    process_batch(TableStore(spark, f"{work}/tables"), messages, 1, shipped_rules())
+    start_ingest(stream_messages(spark, f"{work}/messages"), f"{work}/tables", f"{work}/checkpoint", shipped_rules).awaitTermination()
     return round(time.perf_counter() - start, 3), count
 
 

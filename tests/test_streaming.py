@@ -4,15 +4,15 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from wattlane.operators import aggregates, ingest, rules, sequences, validate
+from wattlane.operators import aggregates, forest, ingest, rules, scoring, sequences, series, validate, verifier
 from wattlane.plans import fixtures as fx
-from wattlane.schemas import DEVICES
 from wattlane.settings import Settings
 from wattlane.sources import messages as sources
+from wattlane.sources.models import ModelStore
 from wattlane.sources.rules_config import shipped_rules
 from wattlane.sources.tables import TableStore
 from wattlane.streaming import ingest as stream_ingest
-from wattlane.streaming import rollup, stateful
+from wattlane.streaming import maintenance, rollup, stateful
 
 
 @pytest.fixture(scope="module")
@@ -99,25 +99,74 @@ def test_dedup_and_rollup_stream(spark, small, replay, collect):
     assert rows(got, *names) == rows(want, *names)
 
 
+#: A message of another device an hour later, after which all others are silent.
+CLOSING = """SELECT 'energy/house_9999/telemetry' AS topic, CAST('{"schema_version":"1.0","device_id":"house_9999",
+    "timestamp":"2024-01-01T03:00:00Z","voltage_v":220.0,"current_a":1.0,"power_w":220.0,"temperature_c":20.0}' AS BINARY) AS payload,
+    timestamp '2024-01-01 03:00:00' AS received_at, 1000000000L AS offset"""
+OPTIONS = Settings(alert_channels=("console", "webhook"), escalation_mode="all")
+
+
 @pytest.fixture(scope="module")
-def ingested(spark, small, tmp_path_factory):
-    base = tmp_path_factory.mktemp("tables")
-    landing = tmp_path_factory.mktemp("landing")
-    source = fx.messages(spark, small).where(F.col("offset") < 1200)
-    for i in range(2):
-        source.where((F.col("offset") >= i * 600) & (F.col("offset") < (i + 1) * 600)).coalesce(1).write.mode(
-            "append"
-        ).parquet(str(landing))
-    settings = Settings(alert_channels=("console", "webhook"))
-    stream = sources.stream_messages(spark, str(landing), max_files=1)
-    q = stream_ingest.start_ingest(stream, str(base / "t"), str(base / "ck"), shipped_rules, settings)
-    q.awaitTermination(300)
-    assert q.exception() is None
-    return TableStore(spark, str(base / "t")), source, settings
+def models(spark, small):
+    """A small forest and a linear verifier."""
+    readings = fx.arrivals(spark, small)
+    return forest.fit(readings, trees=8, samples=64, train_rows=2_000), verifier.train_linear(readings, components=4)
+
+
+@pytest.fixture(scope="module")
+def ingest_files(spark, small, tmp_path_factory, models):
+    def run(files, settings=OPTIONS, rows=800, source=None):
+        base = tmp_path_factory.mktemp("tables")
+        landing = tmp_path_factory.mktemp("landing")
+        if source is None:
+            source = fx.messages(spark, small).where(F.col("offset") < rows).unionByName(spark.sql(CLOSING))
+        size = rows // files
+        for i in range(files):
+            last = F.lit(i + 1 == files) | (F.col("offset") < (i + 1) * size)
+            source.where((F.col("offset") >= i * size) & last).coalesce(1).write.mode("append").parquet(str(landing))
+        store = TableStore(spark, str(base / "t"))
+        ModelStore(store).save(models[0], 1)
+        stream = sources.stream_messages(spark, str(landing), max_files=1)
+        q = stream_ingest.start_ingest(stream, str(base / "t"), str(base / "ck"), shipped_rules, settings, window_model=models[1])
+        q.awaitTermination(600)
+        assert q.exception() is None
+        return store, source, base, stream
+
+    return run
+
+
+@pytest.fixture(scope="module")
+def ingested(ingest_files):
+    return ingest_files(4)
+
+
+@pytest.fixture(scope="module")
+def at_once(ingest_files):
+    return ingest_files(1)
+
+
+def contents(store):
+    """What the tables hold, but for times of processing."""
+    out = {}
+    for name in ("energy_readings", "data_quality_logs", "device_status_history", "events", "model_predictions", "verdicts"):
+        df = store.scan(name)
+        # The last digits of an error depend on how many windows are multiplied at once.
+        out[name] = rows(df, *sorted(set(df.columns) - {"created_at", "batch", "date", "recon_error"}))
+    out["alert_outbox"] = rows(store.scan("alert_outbox"), "event_id", "channel", "payload")
+    out["minutes"] = minutes(rollup.minute_table(store.scan("energy_readings_1min")))
+    devices = stream_ingest.device_table(store.scan("devices"))
+    out["devices"] = rows(devices, *devices.columns)
+    out["totals"] = rows(store.state("counter_totals", 99, stream_ingest.TOTALS), "name", "value")
+    return out
+
+
+def minutes(df):
+    averages = [F.round(c, 6) for c in ("avg_voltage_v", "avg_current_a", "avg_power_w")]
+    return sorted(tuple(map(str, r)) for r in df.select("bucket", "device_id", *averages, "max_power_w", "min_voltage_v", "sample_count").collect())
 
 
 def test_ingest_tables_equal_one_batch(spark, ingested):
-    store, source, _ = ingested
+    store, source, _, _ = ingested
     checked = validate.validate_messages(validate.route(source))
     readings = validate.valid_readings(checked)
     unique = ingest.dedup_readings(readings)
@@ -125,34 +174,176 @@ def test_ingest_tables_equal_one_batch(spark, ingested):
     assert rows(store.scan("data_quality_logs"), "log_id", "error_type") == rows(
         validate.quality_rows(checked), "log_id", "error_type"
     )
-    hits = rules.evaluate(readings, shipped_rules())
-    fired = store.scan("events").where("rule_name NOT IN ('device_event', 'device_offline_status')")
+    lost = store.scan("events").where("rule_name = 'device_offline_heartbeat'")
+    hits = rules.evaluate(readings, shipped_rules(), resets=lost.select("device_id", F.col("time").alias("reset_at")))
+    other = ("device_event", "device_offline_status", "device_offline_heartbeat", "ml_isolation_forest")
+    fired = store.scan("events").where(~F.col("rule_name").isin(*other))
     assert rows(fired, "time", "device_id", "rule_name") == rows(hits, "time", "device_id", "rule_name")
-    assert store.state("devices", 99, DEVICES).count() == checked.where(
+    assert stream_ingest.device_table(store.scan("devices")).count() == checked.where(
         "error_type IS NULL AND message_type <> 'events'"
     ).select("device_id").distinct().count()
 
 
-def test_alert_cooldown_spans_batches(spark, ingested):
-    store, _, _ = ingested
-    critical = store.scan("events").where("severity = 'CRITICAL'").withColumn("offset", F.col("event_id"))
-    want = sequences.cooldown(critical, ["device_id", "event_type", "severity"], "time", "offset", 300)
-    queued = store.scan("alert_outbox")
-    assert queued.count() == want.count() * 2
-    assert queued.select("event_id", "channel").distinct().count() == queued.count()
+def test_four_files_equal_one(ingested, at_once):
+    four, one = contents(ingested[0]), contents(at_once[0])
+    assert {n: len(v) for n, v in four.items()} == {n: len(v) for n, v in one.items()}
+    for name in four:
+        assert four[name] == one[name], name
+
+
+def test_silence_has_four_effects(ingested):
+    store = ingested[0]
+    lost = store.scan("events").where("rule_name = 'device_offline_heartbeat'")
+    assert lost.count() > 0 and {r.severity for r in lost.collect()} == {"CRITICAL"}
+    history = store.scan("device_status_history").where("metadata LIKE '%heartbeat_timeout%'")
+    assert rows(history, "device_id", "time") == rows(lost, "device_id", "time")
+    assert store.scan("alert_outbox").join(lost.select("event_id"), "event_id").count() > 0
+    devices = {r.device_id: r for r in stream_ingest.device_table(store.scan("devices")).collect()}
+    ends = lost.groupBy("device_id").agg(F.max("time").alias("t")).collect()
+    ended = [r for r in ends if devices[r.device_id].updated_at == r.t]
+    assert len(ended) > 2 and {devices[r.device_id].status for r in ended} == {"offline"}
+    assert not {"online", "error"} & {r.status for r in devices.values()}  # at the end nobody is live
+
+
+def test_predictions_and_model_events(spark, ingested, models):
+    store, source, _, _ = ingested
+    readings = validate.valid_readings(validate.validate_messages(validate.route(source)))
+    scored = forest.score(readings, models[0])
+    got = store.scan("model_predictions")
+    want = scoring.prediction_rows(scored).dropDuplicates(["time", "device_id"])
+    key = ("time", "device_id", "predicted_label")
+    assert rows(got.select(*key), *key) == rows(want, *key)
+    hits = scoring.model_hits(scored).join(readings.select("offset", "received_at"), "offset")
+    passed = sequences.cooldown(hits, ["device_id", "event_type"], "received_at", "offset", 300)
+    events = store.scan("events").where("rule_name = 'ml_isolation_forest'")
+    assert events.count() > 0 and rows(events, "time", "device_id", "message") == rows(passed, "time", "device_id", "message")
+
+
+def test_minute_table_with_late_rows_and_copies(ingested):
+    store, source, _, _ = ingested
+    readings = validate.valid_readings(validate.validate_messages(validate.route(source)))
+    want = aggregates.minute_rollup(ingest.dedup_readings(readings))
+    assert minutes(rollup.minute_table(store.scan("energy_readings_1min"))) == minutes(want)
+    assert store.scan("energy_readings_1min").count() > want.count()  # minutes that several batches share
+
+
+def test_totals_run_over_batches(ingested):
+    store, source, _, _ = ingested
+    checked = validate.validate_messages(validate.route(source))
+    readings = validate.valid_readings(checked)
+    metrics = store.scan("system_metrics")
+    stored = metrics.where("metric_name = 'counter.readings.stored'").orderBy("batch").collect()
+    values = [r.metric_value for r in stored]
+    assert len(values) >= 4 and values == sorted(values) and values[-1] == ingest.dedup_readings(readings).count()
+    copies = metrics.where("metric_name = 'counter.readings.duplicates'").agg(F.max("metric_value")).first()[0] or 0
+    assert copies + values[-1] == readings.count()
+    received = metrics.where("metric_name = 'counter.messages.received'").agg(F.max("metric_value")).first()[0]
+    assert received == checked.count()
+    rates = series.counter_rate(metrics, "counter.messages.received", "rate").collect()
+    assert len(rates) >= 3 and all(r.rate >= 0 for r in rates) and max(r.rate for r in rates) > 0
+    names = {r.metric_name for r in metrics.select("metric_name").distinct().collect()}
+    assert {f"latency.{op}.{stat}" for op in ("telemetry", "status", "ml_inference") for stat in ("avg_ms", "p50_ms", "p95_ms", "p99_ms")} <= names
+
+
+def test_latencies_keep_the_last_samples(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    first = stream_ingest.add_latencies(store, [("telemetry", 6, 0.006), ("status", 0, 1.0)], 1, 10).collect()
+    assert [(r.operation, r["count"], round(r.avg_ms, 6)) for r in first] == [("telemetry", 6, 1.0)]
+    again = stream_ingest.add_latencies(store, [("telemetry", 8, 0.016)], 2, 10).collect()
+    assert [(r["count"], round(r.avg_ms, 6), round(r.p50_ms, 6)) for r in again] == [(10, 1.8, 2.0)]
+    assert rows(stream_ingest.add_latencies(store, [("telemetry", 8, 0.016)], 2, 10), "count", "avg_ms") == rows(spark.createDataFrame(again), "count", "avg_ms")
+    last = stream_ingest.add_latencies(store, [("telemetry", 50, 0.150)], 3, 10).collect()
+    assert [(r["count"], round(r.p50_ms, 6)) for r in last] == [(10, 3.0)]
+    assert store.state("latency_samples", 9, stream_ingest.LATENCIES).count() == 1
+
+
+def test_verdicts_equal_the_batch(ingested, models):
+    store, source, _, _ = ingested
+    readings = validate.valid_readings(validate.validate_messages(validate.route(source)))
+    want = verifier.verdicts(readings, models[1])
+    got = store.scan("verdicts")
+    columns = ("device_id", "window_id", "offset", "confirmed")
+    assert got.count() > 100 and rows(got, *columns) == rows(want, *columns)
+    assert got.select("batch").distinct().count() > 1
 
 
-def test_replayed_batch_adds_nothing(spark, ingested):
-    store, source, settings = ingested
-    names = ("energy_readings", "events", "data_quality_logs", "device_status_history", "alert_outbox")
-    before = {n: store.scan(n).count() for n in names}
-    last = source.where("offset >= 600")
-    stream_ingest.process_batch(store, last, 2, shipped_rules(), settings)
-    assert {n: store.scan(n).count() for n in names} == before
+def test_alert_cooldown_spans_batches(spark, ingested):
+    store, source, _, _ = ingested
+    came = source.select(F.col("offset").alias("_o"), "received_at")
+    critical = store.scan("events").where("severity = 'CRITICAL'")
+    queued = store.scan("alert_outbox").select("event_id", "channel", "created_at")
+    assert queued.select("event_id", "channel").distinct().count() == queued.count() == 2 * queued.select("event_id").distinct().count()
+    sent = critical.join(queued.select("event_id").distinct(), "event_id")
+    per_key = sent.groupBy("device_id", "event_type").agg(F.sort_array(F.collect_list(F.unix_micros("time"))).alias("t")).collect()
+    # Arrival is at most some seconds after the event's time.
+    assert all(b - a >= 290_000_000 for r in per_key for a, b in zip(r.t, r.t[1:]))
+    keys = critical.select("device_id", "event_type").distinct()
+    assert len(per_key) == keys.count() and came.count() > 0
+
+
+def test_replayed_batch_changes_nothing(spark, ingest_files):
+    store, source, base, stream = ingest_files(2, rows=300)
+    before = contents(store)
+    commits = sorted(int(p.name) for p in (base / "ck" / "commits").iterdir() if p.name.isdigit())
+    for p in (base / "ck" / "commits").iterdir():  # the last batch counts as not finished
+        if p.name.strip(".").split(".")[0] == str(commits[-1]):
+            p.unlink()
+    q = stream_ingest.start_ingest(stream, str(base / "t"), str(base / "ck"), shipped_rules, OPTIONS)
+    q.awaitTermination(600)
+    assert q.exception() is None
+    assert contents(store) == before
+
+
+def test_redelivered_messages_add_nothing(spark, small, ingest_files):
+    """The same messages come again in a later file: no new rows, and all count as duplicates."""
+    source = fx.messages(spark, small).where("offset < 300")
+    again = source.withColumn("offset", F.col("offset") + 300)
+    store, _, _, _ = ingest_files(2, rows=600, source=source.unionByName(again))
+    once = ingest.dedup_readings(validate.valid_readings(validate.validate_messages(validate.route(source))))
+    assert rows(store.scan("energy_readings"), "time", "device_id") == rows(once, "time", "device_id")
+    assert minutes(rollup.minute_table(store.scan("energy_readings_1min"))) == minutes(aggregates.minute_rollup(once))
+    totals = {r.name: r.value for r in store.state("counter_totals", 99, stream_ingest.TOTALS).collect()}
+    assert totals["readings.stored"] == once.count() and totals["readings.duplicates"] == totals["messages.telemetry"] - once.count()
+
+
+@pytest.mark.parametrize("mode,inline,expected", [("rules", False, {"rules"}), ("ml", False, {"ml"}), ("hybrid", True, {"rules", "ml"})])
+def test_detection_modes(ingest_files, mode, inline, expected):
+    settings = Settings(detection_mode=mode, ml_inline=inline, storage_policy="event_only")
+    store, source, _, _ = ingest_files(1, settings, rows=400)
+    names = {r.rule_name for r in store.scan("events").select("rule_name").distinct().collect()}
+    rule_names = {r.name for r in shipped_rules()}
+    assert {k for k, own in (("rules", rule_names), ("ml", {"ml_isolation_forest"})) if names & own} == expected
+    triggers = rule_names & names | ({"ml_isolation_forest"} if inline else set())
+    hit = store.scan("events").where(F.col("rule_name").isin(*triggers)) if triggers else None
+    try:
+        kept = rows(store.scan("energy_readings"), "time", "device_id")
+    except Exception:
+        kept = []  # no table, as nothing was stored
+    assert kept == (rows(hit.select("time", "device_id").distinct(), "time", "device_id") if hit is not None else [])
+    readings = ingest.dedup_readings(validate.valid_readings(validate.validate_messages(validate.route(source))))
+    assert minutes(rollup.minute_table(store.scan("energy_readings_1min"))) == minutes(aggregates.minute_rollup(readings))
+
+
+def test_changed_rules_restart_the_query(spark, small, tmp_path):
+    landing = tmp_path / "in"
+    for i in range(3):
+        fx.messages(spark, small).where((F.col("offset") >= i * 100) & (F.col("offset") < (i + 1) * 100)).coalesce(1).write.mode("append").parquet(str(landing))
+    asked = []
+
+    def rules_of():
+        asked.append(1)
+        return shipped_rules() if len(asked) > 2 else []
+
+    stream = sources.stream_messages(spark, str(landing), max_files=1)
+    stream_ingest.run_ingest(stream, str(tmp_path / "t"), str(tmp_path / "ck"), rules_of)
+    store = TableStore(spark, str(tmp_path / "t"))
+    batches = {r.batch for r in store.scan("events").where(F.col("rule_name").isin(*[r.name for r in shipped_rules()])).select("batch").distinct().collect()}
+    assert batches and 1 not in batches
+    assert store.scan("energy_readings").select("batch").distinct().count() == 3
 
 
 def test_time_scan_prunes_dates(ingested):
-    store, _, _ = ingested
+    store = ingested[0]
     plan = store.scan("energy_readings", "2024-01-01 00:00:00", "2024-01-01 00:05:00")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in text
@@ -180,3 +371,40 @@ def test_prune_of_the_outbox_keeps_open_rows(spark, tmp_path):
     assert store.prune("alert_outbox", "2024-01-10 00:00:00", 2) == ["2024-01-01", "2024-01-02", "2024-01-03"]
     assert sorted(r.outbox_id for r in store.scan("alert_outbox").collect()) == [1, 6, 7]
     assert store.prune("alert_outbox", "2024-01-10 00:00:00", 2) == []
+
+
+def test_appends_read_only_their_own_times(spark, tmp_path):
+    """However full the day is, a batch looks up the rows of its own range of times."""
+    store = TableStore(spark, str(tmp_path))
+    looked = []
+    for batch in range(1, 6):
+        df = spark.sql(f"""SELECT timestamp '2024-01-01 00:00:00' + make_dt_interval(0, {batch}, 0, id) AS time,
+                           concat('d', id % 7) AS device_id FROM range(50)""")
+        df = df.unionByName(df.limit(5))
+        held = store.held("energy_readings", df, batch)
+        looked.append(0 if held is None else held.count())
+        store.append_new("energy_readings", df.distinct(), batch=batch)
+    assert looked == [0] * 5 and store.scan("energy_readings").count() == 250
+    plan = store.held("energy_readings", df, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(time), GreaterThanOrEqual(time" in plan and "PartitionFilters: [" in plan
+    again = store.unseen("energy_readings", df, 9)
+    assert again.count() == 0 and store.unseen("energy_readings", df, 5).count() == 55
+
+
+def test_compacted_days_hold_the_same_rows(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    df = spark.sql("""SELECT timestamp '2024-01-01 12:00:00' + make_dt_interval(0, 0, 0, 20 * id) AS time, concat('d', id % 3) AS device_id,
+                      id * 1.0D AS voltage_v, if(id % 4 = 0, NULL, 2.0D) AS current_a, id * 3.0D AS power_w FROM range(40)""")
+    for batch in (1, 2, 3):
+        part = df.where(F.pmod(F.xxhash64("time"), F.lit(3)) == batch - 1)
+        store.append("energy_readings", part, batch)
+        store.append("energy_readings_1min", rollup.minute_parts(part), batch)
+    for name in ("energy_readings", "energy_readings_1min"):
+        assert maintenance.compact(store, name, "2024-01-01") == []
+        assert maintenance.compact(store, name, "2024-01-02") == ["2024-01-01"]
+        assert {r.batch for r in store.scan(name).select("batch").distinct().collect()} == {3}
+        assert maintenance.compact(store, name, "2024-01-02") == []
+    assert rows(store.scan("energy_readings"), "time", "device_id", "power_w") == rows(df, "time", "device_id", "power_w")
+    parts = store.scan("energy_readings_1min")
+    assert parts.count() == parts.select("bucket", "device_id").distinct().count()
+    assert minutes(rollup.minute_table(parts)) == minutes(aggregates.minute_rollup(df))

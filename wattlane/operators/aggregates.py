@@ -168,8 +168,10 @@ def pipeline_counters(
     """Counter table (name, value) of one run.
 
     ``checked`` are validated messages, ``stored`` readings with ``copies``,
-    ``kept`` and ``store_raw``, ``events`` the created events.
+    ``kept`` and ``store_raw``, ``events`` the created events. Where ``stored`` has
+    ``is_new``, only such readings were written; all other kept copies are duplicates.
     """
+    written = F.col("is_new") if "is_new" in stored.columns else F.col("store_raw")
     ok = F.col("error_type").isNull()
     kinds = (("telemetry", "telemetry"), ("status", "status"), ("events", "event"))
     parsed = F.coalesce(F.col("error_type") != "invalid_json", F.lit(True))
@@ -180,8 +182,8 @@ def pipeline_counters(
         totals[f"validation.{short}.failures"] = F.count_if(of_kind & ~ok & parsed)
         totals[f"messages.{kind}"] = F.count_if(of_kind & ok)
     kept = {
-        "readings.stored": F.count_if("store_raw"),
-        "readings.duplicates": F.sum(F.when(F.col("store_raw"), F.col("kept") - 1).otherwise(0)),
+        "readings.stored": F.count_if(written),
+        "readings.duplicates": F.sum(F.when(F.col("store_raw"), F.col("kept") - written.cast("int")).otherwise(0)),
         "readings.skipped_by_policy": F.sum(F.col("copies") - F.col("kept")),
     }
     by_severity = events.groupBy(F.concat(F.lit("events."), F.lower("severity")).alias("name"))
@@ -322,8 +324,3 @@ def arm_means(runs: DataFrame, arm: str, arms: Sequence[str], value: str, digits
         F.round(first, digits).alias(first), F.round(second, digits).alias(second),
         F.round(F.col(second) - F.col(first), digits).alias("delta"),
     )
-
-
-def latest_rows(df: DataFrame) -> DataFrame:
-    """Latest row per device."""
-    return latest(df, ["device_id"], "time")

@@ -192,16 +192,27 @@ def _score_column(forest: Forest) -> Column:
     return score(*[F.col(f) for f in FEATURE_NAMES])
 
 
-def score(readings: DataFrame, forest: Forest, *, threshold: float | None = None) -> DataFrame:
-    """Readings with anomaly_score, threshold, is_anomaly (strictly above) and model_version.
+class Scorer:
+    """A forest whose nodes are at the executors: many batches can be scored by it."""
 
-    A reading with a missing feature keeps its row and gets no score.
-    """
-    cut = forest.threshold if threshold is None else float(threshold)
-    extra = feature_columns(forest.nominal_voltage)[len(FEATURES):]
-    scored = readings.select("*", *extra).withColumn("anomaly_score", _score_column(forest))
-    return scored.drop("voltage_deviation", "power_discrepancy").select(
-        "*", F.lit(cut).alias("threshold"),
-        (F.col("anomaly_score") > F.lit(cut)).alias("is_anomaly"),
-        F.lit(forest.version).alias("model_version"),
-    )
+    def __init__(self, forest: Forest) -> None:
+        self.forest = forest
+        self.column = _score_column(forest)
+
+    def score(self, readings: DataFrame, *, threshold: float | None = None) -> DataFrame:
+        """Readings with anomaly_score, threshold, is_anomaly (strictly above) and model_version.
+
+        A reading with a missing feature keeps its row and gets no score.
+        """
+        cut = self.forest.threshold if threshold is None else float(threshold)
+        extra = feature_columns(self.forest.nominal_voltage)[len(FEATURES):]
+        scored = readings.select("*", *extra).withColumn("anomaly_score", self.column)
+        return scored.drop("voltage_deviation", "power_discrepancy").select(
+            "*", F.lit(cut).alias("threshold"),
+            (F.col("anomaly_score") > F.lit(cut)).alias("is_anomaly"),
+            F.lit(self.forest.version).alias("model_version"),
+        )
+
+
+def score(readings: DataFrame, forest: Forest, *, threshold: float | None = None) -> DataFrame:
+    return Scorer(forest).score(readings, threshold=threshold)

@@ -81,8 +81,7 @@ def claim(outbox: DataFrame, now: str, limit: int = 50, reclaim_after: float | N
     at = F.lit(now).cast("timestamp")
     ids = due(outbox, now, limit, reclaim_after).select("outbox_id", F.lit(True).alias("_c"))
     mine = F.col("_c").isNotNull()
-    # ids holds at most ``limit`` rows.
-    return outbox.join(F.broadcast(ids), "outbox_id", "left").withColumns({
+    return outbox.join(ids, "outbox_id", "left").withColumns({
         "status": F.when(mine, "processing").otherwise(F.col("status")),
         "locked_at": F.when(mine, at).otherwise(F.col("locked_at")),
         "updated_at": F.when(mine, at).otherwise(F.col("updated_at")),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import COMPARISONS, MICROS, compare, micros, natural_id, percent_change, slot
 from ..sources.rules_config import Rule
 
+# Numeric columns of a reading that rules may read.
+NUMERIC_FIELDS = ("voltage_v", "current_a", "power_w", "temperature_c", "sequence_no")
 # Columns every hit carries.
 HIT_COLUMNS = (
     "offset", "time", "device_id", "rule_name", "event_type", "severity",
@@ -39,17 +41,21 @@ def _threshold_hit(rule: Rule) -> Column | None:
     return F.when(compare(actual, rule.operator, rule.value), hit)
 
 
-def threshold_hits(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All enabled threshold rules in one pass: one array of hits per row, exploded."""
-    known = set(readings.columns)
+def threshold_array(rules: Sequence[Rule], known: set[str]) -> Column | None:
+    """The hits of all enabled threshold rules on a row as one array; None without such rules."""
     structs = [
         h for r in rules
         if r.enabled and r.type == "threshold" and r.field in known
         and (h := _threshold_hit(r)) is not None
     ]
-    if not structs:
+    return F.filter(F.array(*structs), lambda h: h.isNotNull()) if structs else None
+
+
+def threshold_hits(readings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """All enabled threshold rules in one pass: one array of hits per row, exploded."""
+    fired = threshold_array(rules, set(readings.columns))
+    if fired is None:
         return _no_hits(readings)
-    fired = F.filter(F.array(*structs), lambda h: h.isNotNull())
     return (
         readings.select("offset", "time", "device_id", F.explode(fired).alias("h"))
         .select("offset", "time", "device_id", "h.*")
@@ -160,7 +166,11 @@ def _clear_before(rows: DataFrame, resets: DataFrame, width: int) -> DataFrame:
 def spike_hits(
     readings: DataFrame, rule: Rule, *, clock: str = "received_at", resets: DataFrame | None = None
 ) -> DataFrame:
-    based = spike_baseline(readings, rule.field, rule.window_seconds, clock=clock, resets=resets)
+    return hits_over_baseline(spike_baseline(readings, rule.field, rule.window_seconds, clock=clock, resets=resets), rule)
+
+
+def hits_over_baseline(based: DataFrame, rule: Rule) -> DataFrame:
+    """Hits among (device_id, offset, time, value, baseline)."""
     seconds = f"{rule.window_seconds:g}"
     change = percent_change(F.col("value"), F.col("baseline"))
     return (

@@ -3,13 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import MICROS, add_seconds, micros
-from . import greedy
-from .groups import sorted_groups
+from ..functions.scalar import MICROS, add_seconds, iso, micros
+from . import greedy, intervals
 from .ordered import HOUR_US, OFFSET_SPAN, keyed_index, neighbour
 
 
@@ -84,38 +82,21 @@ def silent_gaps(
     )
 
 
-def _fire(part: dict, cooldown_us: int) -> dict:
-    """Fold of one device's candidate silences, in time order."""
-    seen, fired, last = [], [], None
-    for since, start, until in zip(part["last_us"].tolist(), part["silent_us"].tolist(), part["until_us"].tolist()):
-        at = start if last is None else max(start, last + cooldown_us)
-        if at < until:
-            seen.append(since)
-            fired.append(at)
-            last = at
-    return {"last_us": np.array(seen, dtype=np.int64), "offline_us": np.array(fired, dtype=np.int64)}
-
-
 def heartbeat_failures(
     status: DataFrame, as_of: str, timeout_seconds: float = 30, cooldown_seconds: float = 300,
-    *, slot_us: int = HOUR_US,
+    *, slot_us: int = HOUR_US, fan: int = intervals.FAN,
 ) -> DataFrame:
     """Offline transitions by silence, at most one per ``cooldown_seconds`` and device.
 
     A suppressed transition waits: it happens when the cooldown ends, unless the
-    device was seen again.  Each candidate takes at least ``timeout_seconds`` of
-    silence, so a device has at most time span / timeout of them, however many
-    status rows it sent; only candidates reach the per-device fold.
+    device was seen again. Silences are disjoint intervals, whose chain is composed
+    block by block (``intervals``).
     """
     gaps = silent_gaps(status, as_of, timeout_seconds, slot_us=slot_us).select(
-        "device_id", micros("last_seen").alias("last_us"),
-        micros("silent_at").alias("silent_us"), micros("until").alias("until_us"),
-    )
-    cooldown_us = int(cooldown_seconds * MICROS)
-    fired = sorted_groups(
-        gaps, ["device_id"], ["silent_us"], lambda key, part: _fire(part, cooldown_us),
-        "device_id string, last_us long, offline_us long",
+        "device_id", micros("silent_at").alias("start"), micros("until").alias("until"),
     )
+    fired = intervals.firings(gaps, "device_id", int(cooldown_seconds * MICROS), fan=fan).select(
+        "device_id", (F.col("start") - F.lit(int(timeout_seconds * MICROS))).alias("last_us"), F.col("at").alias("offline_us"))
     return fired.select(
         "device_id",
         F.timestamp_micros("last_us").alias("last_seen"),
@@ -137,7 +118,7 @@ def heartbeat_events(failures: DataFrame, timeout_seconds: float = 30) -> DataFr
         F.lit(None).cast("timestamp").alias("reading_time"),
         F.lit(None).cast("double").alias("event_value"),
         F.lit(float(timeout_seconds)).alias("threshold_value"),
-        F.to_json(F.struct("last_seen", "age_seconds")).alias("metadata"),
+        F.to_json(F.struct(iso("last_seen").alias("last_seen"), "age_seconds")).alias("metadata"),
         F.lit(False).alias("acknowledged"),
     )
 
@@ -146,5 +127,5 @@ def heartbeat_status_rows(failures: DataFrame) -> DataFrame:
     """Offline transitions as status-history rows."""
     return failures.select(
         F.col("offline_at").alias("time"), "device_id", F.lit("offline").alias("status"),
-        F.to_json(F.struct(F.lit("heartbeat_timeout").alias("reason"), "last_seen")).alias("metadata"),
+        F.to_json(F.struct(F.lit("heartbeat_timeout").alias("reason"), iso("last_seen").alias("last_seen"))).alias("metadata"),
     )

@@ -47,6 +47,6 @@ def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
 
 
 def load() -> dict[str, Query]:
-    from . import queries_analytics, queries_ingest, queries_models, queries_sequences  # noqa: F401
+    from . import queries_analytics, queries_ingest, queries_models, queries_sequences, queries_stream  # noqa: F401
 
     return QUERIES

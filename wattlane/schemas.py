@@ -51,9 +51,15 @@ PREDICTIONS = (
     "anomaly_score DOUBLE, predicted_label STRING, input_window_start TIMESTAMP, "
     "input_window_end TIMESTAMP, metadata STRING, created_at TIMESTAMP"
 )
-ROLLUP = (
-    "bucket TIMESTAMP, device_id STRING, avg_voltage_v DOUBLE, avg_current_a DOUBLE, "
-    "avg_power_w DOUBLE, max_power_w DOUBLE, min_voltage_v DOUBLE, sample_count BIGINT"
+# Mergeable parts of the one-minute table: sums, so that parts of one minute add up.
+ROLLUP_PARTS = (
+    "bucket TIMESTAMP, device_id STRING, voltage_sum DOUBLE, voltage_count BIGINT, current_sum DOUBLE, "
+    "current_count BIGINT, power_sum DOUBLE, power_count BIGINT, max_power_w DOUBLE, min_voltage_v DOUBLE, "
+    "sample_count BIGINT"
+)
+VERDICTS = (
+    "time TIMESTAMP, device_id STRING, window_id BIGINT, offset BIGINT, recon_error DOUBLE, "
+    "threshold DOUBLE, confirmed BOOLEAN"
 )
 
 # Natural keys, used for idempotent appends.
@@ -66,6 +72,8 @@ KEYS = {
     "device_status_history": ("id",),
     "system_metrics": ("time", "metric_name"),
     "alert_deliveries": ("alert_id",),
+    "reading_keys": ("time", "device_id"),
+    "verdicts": ("device_id", "window_id", "offset"),
 }
 
 # The time column that partitions (by date) and ages each table.
@@ -78,4 +86,8 @@ TIME_COLUMNS = {
     "model_predictions": "time",
     "alert_deliveries": "sent_at",
     "alert_outbox": "created_at",
+    "reading_keys": "time",
+    "energy_readings_1min": "bucket",
+    "verdicts": "time",
+    "devices": "updated_at",
 }

@@ -35,6 +35,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session may do with a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="wattlane-tables-")
+    return folder
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """The stateful streams need this state store, also in a session that others have built."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, DEFAULTS[key])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 

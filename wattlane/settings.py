@@ -24,9 +24,16 @@ class Settings:
     outbox_batch_size: int = 50
     outbox_max_attempts: int = 5
     retry_delays_seconds: tuple[int, ...] = (30, 120, 600, 1800)
+    outbox_lease_seconds: int = 120
     heartbeat_timeout_seconds: int = 30
+    heartbeat_cooldown_seconds: int = 300
+    liveness: str = "status"  # or "any": readings, too, show that a device is alive
     metrics_latency_samples: int = 10_000
     model_version: str = "iforest_v1"
+    detection_mode: str = "hybrid"  # rules | ml | hybrid: which hits become events
+    ml_inline: bool = False  # model hits count for the storage decision
+    escalation_mode: str = "off"  # off | all | gated
+    escalation_threshold: float | None = None
     model_event_type: str = "ML_ANOMALY"
     model_event_severity: str = "WARNING"
     scoring_batch: tuple[int, int] = (128, 50)  # rows, milliseconds
@@ -50,3 +57,12 @@ class Settings:
             raise ValueError(f"unknown processing mode {self.processing_mode!r}")
         if self.storage_policy not in ("raw", "hybrid", "event_only", "aggregate_only"):
             raise ValueError(f"unknown storage policy {self.storage_policy!r}")
+        if self.detection_mode not in ("rules", "ml", "hybrid"):
+            raise ValueError(f"unknown detection mode {self.detection_mode!r}")
+        if self.liveness not in ("status", "any"):
+            raise ValueError(f"unknown liveness {self.liveness!r}")
+
+    @property
+    def stores_every_reading(self) -> bool:
+        policy = self.storage_policy
+        return self.processing_mode == "baseline" or policy == "raw" or (policy == "hybrid" and self.store_raw_readings)

@@ -1,141 +1,282 @@
 """Continuous ingest: one micro-batch of messages to all tables.
 
-Bad messages are rows of the quality table, never exceptions.  Every sink is
-idempotent (natural keys, anti joins, one state version per batch), so a batch
-that is run again after a failure changes nothing.
+One query reads the messages twice over: as checked messages, and as findings of the device
+machine (``machine.py``), whose state Spark keeps. Both meet in each micro-batch, are staged
+once in columns, and feed the sinks.
+
+Bad messages are rows of the quality table, never exceptions. What a batch writes depends
+only on its input and on earlier batches: history tables have a folder per batch that a rerun
+replaces, and state tables one version per batch. So a batch that is run again after a
+failure changes nothing.
 """
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.scalar import add_seconds
-from ..operators import aggregates, devices, ingest, outbox, policy, rules, sequences, validate
-from ..schemas import DEVICES
-from ..session import cut_lineage
+from ..operators import aggregates, ingest, outbox, policy, rules, scoring, sequences, validate, verifier
+from ..operators.forest import Scorer
+from ..schemas import DEFAULT_DEVICE_TYPE
+from ..session import keep_state_in_rocksdb, use_utc
 from ..settings import Settings
+from ..sources.models import ModelStore
 from ..sources.rules_config import Rule
 from ..sources.tables import TableStore
+from . import machine
+from .rollup import minute_parts
 
-SAMPLES = "device_id STRING, offset BIGINT, time TIMESTAMP, received_at TIMESTAMP, {fields}"
-MARKS = "device_id STRING, event_type STRING, severity STRING, time TIMESTAMP"
+MARKS = "device_id STRING, event_type STRING, time TIMESTAMP"
+TOTALS = "name STRING, value BIGINT"
+LATENCIES = "operation STRING, batch BIGINT, n BIGINT, value_ms DOUBLE"
+#: What a window of readings under way keeps of each, and how many windows a device has had.
+OPEN_WINDOW = "device_id STRING, offset BIGINT, time TIMESTAMP, voltage_v DOUBLE, current_a DOUBLE, power_w DOUBLE, temperature_c DOUBLE"
+WINDOWS_DONE = "device_id STRING, done BIGINT"
+FINDING = "finding"
 
 
-def _spikes(rule_list: Sequence[Rule]) -> list[Rule]:
-    return [r for r in rule_list if rules.complete_spike(r)]
+def together(checked: DataFrame, findings: DataFrame) -> DataFrame:
+    """Checked messages and findings as one stream; ``part`` tells the kinds apart."""
+    kind = F.when(F.col("error_type").isNotNull(), "rejected").otherwise(F.col("message_type"))
+    own = findings.select(*[F.col(c).alias(f"f_{c}") for c in findings.columns]).withColumn("part", F.lit(FINDING))
+    return checked.withColumn("part", kind).unionByName(own, allowMissingColumns=True)
 
 
-def rule_hits(
-    store: TableStore, readings: DataFrame, rule_list: Sequence[Rule], version: int
-) -> DataFrame:
-    """Hits of a batch; spike rules also see the samples kept from earlier batches.
+def _us(name: str) -> Column:
+    return F.timestamp_micros(name)
 
-    The kept samples are those of the longest rule window before the newest arrival.
-    """
-    hits = rules.threshold_hits(readings, rule_list)
-    spikes = _spikes(rule_list)
-    if not spikes:
-        return hits
-    fields = sorted({r.field for r in spikes})
-    schema = SAMPLES.format(fields=", ".join(f"{f} DOUBLE" for f in fields))
-    columns = ["device_id", "offset", "time", "received_at", *fields]
-    kept = store.state("recent_samples", version, schema)
-    new = readings.select(*columns)
-    both = kept.unionByName(new)
-    for rule in spikes:
-        found = rules.spike_hits(both, rule)
-        hits = hits.unionByName(found.join(new.select("offset"), "offset", "left_semi").select(*hits.columns))
-    newest = both.agg(F.unix_micros(F.max("received_at"))).first()[0]
-    if newest is not None:
-        longest = max(r.window_seconds for r in spikes)
-        recent = both.where(F.col("received_at") >= add_seconds(F.timestamp_micros(F.lit(newest)), -longest))
-        store.save_state("recent_samples", version, recent)
-    return hits
-
-
-def queue_alerts(
-    store: TableStore, events: DataFrame, arrivals: DataFrame, at: str, version: int, settings: Settings
-) -> None:
-    """Enqueue alerts; the last alert per key carries the cooldown across batches.
 
-    The clock is the arrival (``arrivals`` has the received_at of each offset), so late
-    readings cannot restart a cooldown. Marks older than the cooldown are dropped.
+class Batch:
+    """The parts of one staged micro-batch."""
+
+    def __init__(self, staged: DataFrame) -> None:
+        # Each part is a folder: a sink reads only its own.
+        self.checked = staged.where(F.col("part") != FINDING).select(*[c for c in staged.columns if not c.startswith("f_") and c != "part"])
+        self.findings = staged.where(F.col("part") == FINDING).select(
+            *[F.col(c).alias(c[2:]) for c in staged.columns if c.startswith("f_")])
+        part = lambda kind: staged.where(F.col("part") == kind)
+        self.readings = validate.valid_readings(part("telemetry"))
+        self.states = validate.valid_status(part("status"))
+        self.reports = validate.valid_device_events(part("events"))
+        self.rejected = part("rejected")
+        newest = staged.agg(F.max(F.greatest(F.unix_micros("received_at"), "f_at_us"))).first()[0]
+        # As text in UTC: a collected timestamp would be in the zone of the driver.
+        self.at = None if newest is None else staged.sparkSession.range(1).select(
+            F.date_format(F.timestamp_micros(F.lit(newest)), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+
+    def found(self, kind: str) -> DataFrame:
+        return self.findings.where(F.col("kind") == kind)
+
+
+def spike_hits(batch: Batch, rule_list: Sequence[Rule]) -> DataFrame:
+    """The machine's spikes as hits, with the texts of their rules."""
+    based = batch.found("spike").select("device_id", "offset", _us("ref_us").alias("time"), "value", F.col("base").alias("baseline"), "rule")
+    parts = [rules.hits_over_baseline(based.where(F.col("rule") == r.name), r) for r in machine.spike_rules(rule_list)]
+    return reduce(DataFrame.unionByName, parts, rules._no_hits(batch.readings))
+
+
+def silences(batch: Batch) -> DataFrame:
+    """Offline transitions of the batch: (device_id, last_seen, offline_at, age_seconds)."""
+    return batch.found("offline").select(
+        "device_id", _us("ref_us").alias("last_seen"), _us("at_us").alias("offline_at"),
+        ((F.col("at_us") - F.col("ref_us")) / F.lit(1e6)).alias("age_seconds"))
+
+
+def registry_rows(batch: Batch) -> DataFrame:
+    """The devices that the batch changed, as rows of the registry's history."""
+    last = batch.found("device").groupBy("device_id").agg(
+        F.max_by(F.struct("at_us", "ref_us", "first_us", "firmware", "status"), F.struct("at_us", F.col("status") == "offline")).alias("d"))
+    return last.select(
+        "device_id", F.lit(None).cast("string").alias("location"), F.lit(DEFAULT_DEVICE_TYPE).alias("device_type"),
+        F.col("d.firmware").alias("firmware_version"), F.col("d.status").alias("status"), _us("d.ref_us").alias("last_seen_at"),
+        _us("d.first_us").alias("created_at"), _us("d.at_us").alias("updated_at"))
+
+
+def device_table(history: DataFrame) -> DataFrame:
+    """The registry: the last row of each device in its history."""
+    columns = [c for c in history.columns if c not in ("device_id", "date", "batch")]
+    last = history.groupBy("device_id").agg(F.max_by(F.struct(*columns), "batch").alias("d"))
+    return last.select("device_id", "d.*")
+
+
+def cooled(store: TableStore, name: str, candidates: DataFrame, version: int, at: str, seconds: float) -> DataFrame:
+    """Candidates (with ``received_at``) that pass the cooldown of their device and type across batches.
+
+    The marks of earlier batches are one row per key, and go when the cooldown has passed.
     """
-    marks = store.state("alert_marks", version, MARKS)
-    keys = ["device_id", "event_type", "severity"]
-    now, cooldown = F.lit(at).cast("timestamp"), settings.alert_cooldown_seconds
-    came = arrivals.groupBy(F.col("offset").alias("_o")).agg(F.min("received_at").alias("received_at"))
-    candidates = policy.alertable(events, settings).join(came, F.col("offset") == F.col("_o"), "left").drop("_o").withColumn(
-        "received_at", F.coalesce("received_at", now))
+    keys = ["device_id", "event_type"]
+    marks = store.state(name, version, MARKS)
     quiet = marks.withColumnRenamed("time", "_mark")
-    due = candidates.join(quiet, keys, "left").where(
-        F.col("_mark").isNull() | (F.col("received_at") >= add_seconds("_mark", cooldown))).select(*candidates.columns)
-    passed = sequences.cooldown(due, keys, "received_at", "offset", cooldown).persist(StorageLevel.DISK_ONLY)
-    latest = marks.unionByName(passed.select(*keys, F.col("received_at").alias("time"))).groupBy(*keys).agg(
-        F.max("time").alias("time"))
-    store.save_state("alert_marks", version, latest.where(F.col("time") > add_seconds(now, -cooldown)))
-    rows = outbox.fan_out(passed.drop("received_at"), settings.alert_channels).select(
+    open_ = candidates.join(quiet, keys, "left").where(
+        F.col("_mark").isNull() | (F.col("received_at") >= add_seconds("_mark", seconds))).select(*candidates.columns)
+    passed = store.stage(f"_{name}", version, sequences.cooldown(open_, keys, "received_at", "offset", seconds).withColumn("part", F.lit("all")), "part")
+    latest = marks.unionByName(passed.select(*keys, F.col("received_at").alias("time"))).groupBy(*keys).agg(F.max("time").alias("time"))
+    store.save_state(name, version, latest.where(F.col("time") > add_seconds(F.lit(at).cast("timestamp"), -seconds)))
+    return passed.drop("part")
+
+
+def model_hits(store: TableStore, batch: Batch, scored: DataFrame, version: int, settings: Settings) -> DataFrame:
+    """Hits of the model after their own cooldown, on arrival."""
+    came = batch.readings.select(F.col("offset").alias("_o"), "received_at")
+    hits = scoring.model_hits(scored, settings).join(came, F.col("offset") == F.col("_o")).drop("_o")
+    return cooled(store, "model_marks", hits, version, batch.at, settings.alert_cooldown_seconds).drop("received_at")
+
+
+def write_readings(store: TableStore, batch: Batch, hits: DataFrame, version: int, settings: Settings) -> DataFrame:
+    """Store the readings that the policy keeps and that are new, and their minutes.
+
+    Gives each reading of the batch with ``copies``, ``kept``, ``store_raw`` and ``is_new``.
+    """
+    created = F.lit(batch.at).cast("timestamp").alias("created_at")
+    judged = ingest.stored_readings(batch.readings, hits, settings)
+    new = store.unseen("energy_readings", judged.where("store_raw").select("time", "device_id", "offset"), version).select(
+        F.col("offset").alias("_o"), F.lit(True).alias("is_new"))
+    judged = store.stage("_judged", version, judged.join(new, F.col("offset") == F.col("_o"), "left").drop("_o").withColumn(
+        "is_new", F.coalesce("is_new", F.lit(False))).withColumn("part", F.lit("all")), "part").drop("part")
+    store.append("energy_readings", judged.where("is_new").select(
+        "time", "device_id", "voltage_v", "current_a", "power_w", "temperature_c", "sequence_no", "raw_payload", created), version)
+    if settings.stores_every_reading:
+        first = judged.where("is_new")
+    else:
+        # The minutes hold all valid readings, so those that are not stored are known by their keys.
+        first = store.unseen("reading_keys", judged, version)
+        store.append("reading_keys", first.select("time", "device_id"), version)
+    store.append("energy_readings_1min", minute_parts(first), version)
+    return judged
+
+
+def write_alerts(store: TableStore, batch: Batch, new_events: DataFrame, model: DataFrame, version: int, settings: Settings) -> None:
+    """Queue the alerts of new events that pass their cooldown.
+
+    The machine judges all events but the model's, which have passed one of their own.
+    """
+    alerts = batch.found("alert").select(
+        F.col("offset").alias("_o"), F.col("rule").alias("_r"), F.col("device_id").alias("_d"), _us("at_us").alias("_t")).distinct()
+    same = (F.col("rule_name") == F.col("_r")) & (F.col("device_id") == F.col("_d")) & F.coalesce(
+        F.col("offset") == F.col("_o"), F.col("_o").isNull() & (F.col("time") == F.col("_t")))
+    due = new_events.join(alerts, same, "left_semi")
+    own = policy.alertable(model, settings).join(new_events.select("event_id"), "event_id", "left_semi")
+    now, none = F.lit(batch.at).cast("timestamp"), F.lit(None)
+    rows = outbox.fan_out(due.unionByName(own.select(*due.columns)), settings.alert_channels).select(
         F.xxhash64("event_id", "channel").alias("outbox_id"), "event_id", "channel",
         outbox.payload().alias("payload"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"),
-        now.alias("next_attempt_at"), F.lit(None).cast("string").alias("last_error"),
-        F.lit(None).cast("timestamp").alias("locked_at"), F.lit(None).cast("timestamp").alias("sent_at"),
+        now.alias("next_attempt_at"), none.cast("string").alias("last_error"),
+        none.cast("timestamp").alias("locked_at"), none.cast("timestamp").alias("sent_at"),
         now.alias("created_at"), now.alias("updated_at"),
     )
-    store.append_new("alert_outbox", rows)
-    passed.unpersist()
+    store.append("alert_outbox", rows, version)
 
 
-def process_batch(
-    store: TableStore, messages: DataFrame, version: int, rule_list: Sequence[Rule], settings: Settings = Settings()
-) -> None:
-    """All sinks of one batch of messages.
+def add_totals(store: TableStore, deltas: DataFrame, version: int) -> DataFrame:
+    """Running totals (name, value): those of earlier batches and this one's counts."""
+    both = store.state("counter_totals", version, TOTALS).unionByName(deltas.select("name", F.col("value").cast("long").alias("value")))
+    store.save_state("counter_totals", version, both.groupBy("name").agg(F.sum("value").alias("value")).coalesce(1))
+    return store.state("counter_totals", version + 1, TOTALS)
+
+
+def add_latencies(store: TableStore, timed: Sequence[tuple[str, int, float]], version: int, keep: int) -> DataFrame:
+    """Latency statistics per operation over the last ``keep`` samples.
 
-    The parsed batch is written once to the checkpoint folder and read by every sink,
-    which survives the loss of executors and keeps the plans of the sinks short.
+    A batch gives each of its ``n`` rows its share of the time taken. The state holds
+    (operation, batch, n, ms), cut to the batches that the last ``keep`` samples reach into.
     """
-    checked = cut_lineage(validate.validate_messages(validate.route(messages), settings))
-    # As text in UTC: a collected timestamp would be in the zone of the driver.
-    at = checked.agg(F.date_format(F.max("received_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-    if at is None:
+    rows = [(op, version, n, 1000.0 * seconds / n) for op, n, seconds in timed if n > 0]
+    runs = store.state("latency_samples", version, LATENCIES).unionByName(store.spark.createDataFrame(rows, LATENCIES))
+    newer = Window.partitionBy("operation").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = runs.withColumn("_before", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("_before") < keep).withColumn(
+        "n", F.least("n", F.lit(keep) - F.col("_before"))).drop("_before")
+    store.save_state("latency_samples", version, kept.coalesce(1))
+    held = store.state("latency_samples", version + 1, LATENCIES)
+    samples = held.select("operation", F.col("batch").alias("offset"), "value_ms", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return aggregates.latency_summary(samples.drop("col"), keep=keep)
+
+
+def write_verdicts(store: TableStore, escalated: DataFrame, model: verifier.Verifier, version: int) -> None:
+    """Verdicts of the windows that the batch completes; the rest waits for later batches.
+
+    All complete windows of the batch, of whatever device, are scored together.
+    """
+    fields = [c.split()[0] for c in OPEN_WINDOW.split(", ")]
+    waiting = store.state("open_windows", version, OPEN_WINDOW).unionByName(escalated.select(*fields))
+    rows = store.stage("_windows", version, waiting.withColumn("part", F.lit("all")), "part").drop("part")
+    before = store.state("windows_done", version, WINDOWS_DONE)
+    times = rows.select(F.col("offset").alias("_o"), "time")
+    found = verifier.verdicts(rows, model).join(before, "device_id", "left").join(times, F.col("offset") == F.col("_o"))
+    store.append("verdicts", found.select(
+        "time", "device_id", (F.col("window_id") + F.coalesce("done", F.lit(0))).alias("window_id"), "offset",
+        "recon_error", "threshold", "confirmed"), version)
+    whole = sequences.count_windows(rows.select("device_id", "offset"), ["device_id"], "offset", model.window)
+    store.save_state("open_windows", version, rows.join(whole.select("offset"), "offset", "left_anti").select(*fields))
+    closed = whole.groupBy("device_id").agg(F.countDistinct("window_id").alias("done"))
+    store.save_state("windows_done", version, before.unionByName(closed).groupBy("device_id").agg(F.sum("done").alias("done")))
+
+
+def process_batch(
+    store: TableStore, messages: DataFrame, version: int, rule_list: Sequence[Rule], settings: Settings = Settings(),
+    scorer: Scorer | None = None, window_model: verifier.Verifier | None = None,
+) -> None:
+    """All sinks of one micro-batch of checked messages and findings (``together``)."""
+    began = time.monotonic()
+    batch = Batch(store.stage("_batch", version, messages, "part"))
+    if batch.at is None:
         return
-    readings = validate.valid_readings(checked)
-    states = validate.valid_status(checked)
-    reports = validate.valid_device_events(checked)
+    created = F.lit(batch.at).cast("timestamp")
+    proposed = settings.processing_mode == "proposed"
+    staged = time.monotonic()
 
-    use_rules = rule_list if settings.processing_mode == "proposed" else []
-    hits = rule_hits(store, readings, use_rules, version).persist(StorageLevel.DISK_ONLY)
-    stored = ingest.stored_readings(readings, hits, settings).persist(StorageLevel.DISK_ONLY)
+    hits = rules.threshold_hits(batch.readings, rule_list if proposed else []).unionByName(
+        spike_hits(batch, rule_list if proposed else []))
+    found = rules._no_hits(batch.readings)
+    timed = []
+    if scorer is not None and proposed and settings.detection_mode != "rules":
+        scored = store.stage("_scored", version, scorer.score(batch.readings).withColumn("part", F.lit("all")), "part").drop("part")
+        timed.append(("ml_inference", scored.count(), time.monotonic() - staged))
+        found = model_hits(store, batch, scored, version, settings)
+        predictions = scoring.prediction_rows(scored, hits).withColumn("created_at", created)
+        predictions = predictions.dropDuplicates(["time", "device_id", "model_version", "prediction_type"]).drop("offset")
+        store.append_new("model_predictions", predictions, batch=version)
+        escalated = policy.escalation_gate(scored, settings.escalation_mode, settings.escalation_threshold)
+        if window_model is not None and settings.escalation_mode != "off":
+            write_verdicts(store, escalated, window_model, version)
+    if settings.detection_mode == "ml":
+        hits = rules._no_hits(batch.readings)
+    judged = write_readings(store, batch, hits.unionByName(found) if settings.ml_inline else hits, version, settings)
 
-    seen = readings.select("device_id", "firmware_version", "offset").unionByName(
-        states.select("device_id", "firmware_version", "offset")
-    )
-    known = devices.upsert_devices(store.state("devices", version, DEVICES), seen, at)
-    known = devices.apply_status(known, states, at)
-    store.save_state("devices", version, known)
-    known = store.state("devices", version + 1, DEVICES)
-
-    created = F.lit(at).cast("timestamp")
-    store.append_new("data_quality_logs", validate.quality_rows(checked).drop("offset"))
-    store.append_new("energy_readings", stored.where("store_raw").select(
-        "time", "device_id", "voltage_v", "current_a", "power_w", "temperature_c", "sequence_no",
-        "raw_payload", created.alias("created_at"),
-    ))
-    store.append_new("device_status_history", ingest.status_history(states).withColumn("created_at", created))
-    events = rules.to_events(hits).unionByName(ingest.offline_events(states, settings)).unionByName(
-        devices.known_only(ingest.reported_events(reports), known)
-    )
-    store.append_new("events", events.withColumn("created_at", created).drop("offset"))
-    queue_alerts(store, events, checked.select("offset", "received_at"), at, version, settings)
+    gone = silences(batch)
+    store.append("devices", registry_rows(batch), version)
+    store.append_new("data_quality_logs", validate.quality_rows(batch.rejected).drop("offset"), batch=version)
+    told = ingest.status_history(batch.states)
+    lost = sequences.heartbeat_status_rows(gone).withColumn("id", F.xxhash64("device_id", "time", F.lit("heartbeat")))
+    store.append_new("device_status_history", told.unionByName(lost, allowMissingColumns=True).withColumn("created_at", created), batch=version)
+
+    reported = ingest.reported_events(batch.reports).join(batch.found("unknown").select("offset"), "offset", "left_anti")
+    by_model = rules.to_events(found)
+    events = rules.to_events(hits).unionByName(by_model).unionByName(ingest.offline_events(batch.states, settings)).unionByName(
+        reported.select(*by_model.columns)).unionByName(
+        sequences.heartbeat_events(gone, settings.heartbeat_timeout_seconds).withColumn("offset", F.lit(None).cast("long")))
+    events = store.stage("_events", version, events.withColumn("part", F.lit("all")), "part").drop("part")
+    new_events = store.unseen("events", events, version)
+    store.append("events", new_events.withColumn("created_at", created).drop("offset"), version)
+    write_alerts(store, batch, new_events, by_model, version, settings)
 
-    counters = aggregates.pipeline_counters(checked, stored, events)
-    empty = store.spark.createDataFrame([], "operation STRING, count LONG, avg_ms DOUBLE, p50_ms DOUBLE, p95_ms DOUBLE, p99_ms DOUBLE")
-    store.append_new("system_metrics", ingest.metric_rows(counters, empty, at).withColumn("created_at", created))
-    for df in (stored, hits):
-        df.unpersist()
+    counters = aggregates.pipeline_counters(batch.checked, judged, events)
+    counters = counters.unionByName(gone.agg(F.count("*").alias("value")).select(F.lit("devices.offline_detected").alias("name"), "value"))
+    totals = add_totals(store, counters.where("value > 0"), version)
+    spent = time.monotonic() - began
+    counted = batch.checked.where("error_type IS NULL").groupBy("message_type").agg(F.count("*").alias("n")).collect()  # three kinds
+    whole = max(1, sum(r["n"] for r in counted))
+    timed += [(r["message_type"], r["n"], spent * r["n"] / whole) for r in counted]
+    latencies = add_latencies(store, timed, version, settings.metrics_latency_samples)
+    store.append("system_metrics", ingest.metric_rows(totals, latencies, batch.at).withColumn("created_at", created), version)
+    for name in ("_batch", "_judged", "_events", "_scored", "_windows", "_model_marks"):
+        store.unstage(name, version)
 
 
 def start_ingest(
@@ -146,16 +287,53 @@ def start_ingest(
     settings: Settings = Settings(),
     *,
     trigger: dict | None = None,
+    lag: str = "5 seconds",
+    window_model: verifier.Verifier | None = None,
+    changed: threading.Event | None = None,
 ) -> StreamingQuery:
-    """Run the ingest on a message stream.  ``rules_of`` is asked per batch, so rules reload."""
+    """Run the ingest on a message stream.
+
+    The rules are those of ``rules_of`` at the start. With ``changed``, it is asked again
+    before each batch; where the rules differ the event is set and the query ends before it
+    touches the batch (see ``run_ingest``). The newest model of the store's ``models`` folder
+    scores each batch.
+    """
+    keep_state_in_rocksdb(use_utc(messages.sparkSession))
+    rule_list = list(rules_of())
+    checked = validate.validate_messages(validate.route(messages), settings)
+    findings = machine.device_findings(checked, rule_list, settings, lag)
+    models: list[ModelStore] = []
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        if changed is not None and list(rules_of()) != rule_list:
+            changed.set()
+            raise RulesChanged
         session: SparkSession = batch.sparkSession
-        process_batch(TableStore(session, base), batch, batch_id + 1, rules_of(), settings)
+        store = TableStore(session, base)
+        if not models:
+            models.append(ModelStore(store))
+        process_batch(store, batch, batch_id + 1, rule_list, settings, models[0].newest(), window_model)
 
     return (
-        messages.writeStream.foreachBatch(each)
+        together(checked, findings).writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+class RulesChanged(Exception):
+    """The query has to start anew with other rules."""
+
+
+def run_ingest(messages: DataFrame, base: str, checkpoint: str, rules_of: Callable[[], Sequence[Rule]], settings: Settings = Settings(),
+               **options) -> None:
+    """Run the ingest until it ends, starting it anew from its checkpoint whenever the rules change."""
+    while True:
+        changed = threading.Event()
+        try:
+            start_ingest(messages, base, checkpoint, rules_of, settings, changed=changed, **options).awaitTermination()
+            return
+        except StreamingQueryException:
+            if not changed.is_set():
+                raise
