@@ -14,6 +14,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.errors import StreamingQueryException
@@ -40,6 +41,7 @@ LATENCIES = "operation STRING, batch BIGINT, n BIGINT, value_ms DOUBLE"
 OPEN_WINDOW = "device_id STRING, offset BIGINT, time TIMESTAMP, voltage_v DOUBLE, current_a DOUBLE, power_w DOUBLE, temperature_c DOUBLE"
 WINDOWS_DONE = "device_id STRING, done BIGINT"
 FINDING = "finding"
+EPOCH = datetime(1970, 1, 1)
 
 
 def together(checked: DataFrame, findings: DataFrame) -> DataFrame:
@@ -66,10 +68,17 @@ class Batch:
         self.states = validate.valid_status(part("status"))
         self.reports = validate.valid_device_events(part("events"))
         self.rejected = part("rejected")
-        newest = staged.agg(F.max(F.greatest(F.unix_micros("received_at"), "f_at_us"))).first()[0]
+        # A row per part and kind of finding: what is empty is not worked on.
+        parts = staged.groupBy("part", "f_kind").agg(
+            F.count("*").alias("n"), F.max(F.greatest(F.unix_micros("received_at"), "f_at_us")).alias("at")).collect()
+        self.counts = {r["f_kind"] or r["part"]: r["n"] for r in parts}
+        newest = max((r["at"] for r in parts if r["at"] is not None), default=None)
         # As text in UTC: a collected timestamp would be in the zone of the driver.
-        self.at = None if newest is None else staged.sparkSession.range(1).select(
-            F.date_format(F.timestamp_micros(F.lit(newest)), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        self.at = None if newest is None else f"{EPOCH + timedelta(microseconds=newest):%Y-%m-%d %H:%M:%S.%f}"
+
+    def has(self, *kinds: str) -> bool:
+        """Whether the batch has messages or findings of one of the kinds."""
+        return any(self.counts.get(k) for k in kinds)
 
     def found(self, kind: str) -> DataFrame:
         return self.findings.where(F.col("kind") == kind)
@@ -231,13 +240,14 @@ def process_batch(
     proposed = settings.processing_mode == "proposed"
     staged = time.monotonic()
 
-    hits = rules.threshold_hits(batch.readings, rule_list if proposed else []).unionByName(
-        spike_hits(batch, rule_list if proposed else []))
-    found = rules._no_hits(batch.readings)
-    timed = []
-    if scorer is not None and proposed and settings.detection_mode != "rules":
+    no_hits = rules._no_hits(batch.readings)
+    hits = rules.threshold_hits(batch.readings, rule_list if proposed else [])
+    if proposed and batch.has("spike"):
+        hits = hits.unionByName(spike_hits(batch, rule_list))
+    found, timed = no_hits, []
+    if scorer is not None and proposed and settings.detection_mode != "rules" and batch.has("telemetry"):
         scored = store.stage("_scored", version, scorer.score(batch.readings).withColumn("part", F.lit("all")), "part").drop("part")
-        timed.append(("ml_inference", scored.count(), time.monotonic() - staged))
+        timed.append(("ml_inference", batch.counts["telemetry"], time.monotonic() - staged))
         found = model_hits(store, batch, scored, version, settings)
         predictions = scoring.prediction_rows(scored, hits).withColumn("created_at", created)
         predictions = predictions.dropDuplicates(["time", "device_id", "model_version", "prediction_type"]).drop("offset")
@@ -246,33 +256,47 @@ def process_batch(
         if window_model is not None and settings.escalation_mode != "off":
             write_verdicts(store, escalated, window_model, version)
     if settings.detection_mode == "ml":
-        hits = rules._no_hits(batch.readings)
-    judged = write_readings(store, batch, hits.unionByName(found) if settings.ml_inline else hits, version, settings)
+        hits = no_hits
+    judged = None
+    if batch.has("telemetry"):
+        judged = write_readings(store, batch, hits.unionByName(found) if settings.ml_inline else hits, version, settings)
 
     gone = silences(batch)
-    store.append("devices", registry_rows(batch), version)
-    store.append_new("data_quality_logs", validate.quality_rows(batch.rejected).drop("offset"), batch=version)
-    told = ingest.status_history(batch.states)
-    lost = sequences.heartbeat_status_rows(gone).withColumn("id", F.xxhash64("device_id", "time", F.lit("heartbeat")))
-    store.append_new("device_status_history", told.unionByName(lost, allowMissingColumns=True).withColumn("created_at", created), batch=version)
+    if batch.has("device"):
+        store.append("devices", registry_rows(batch), version)
+    if batch.has("rejected"):
+        store.append_new("data_quality_logs", validate.quality_rows(batch.rejected).drop("offset"), batch=version)
+    if batch.has("status", "offline"):
+        told = ingest.status_history(batch.states)
+        lost = sequences.heartbeat_status_rows(gone).withColumn("id", F.xxhash64("device_id", "time", F.lit("heartbeat")))
+        store.append_new("device_status_history", told.unionByName(lost, allowMissingColumns=True).withColumn("created_at", created), batch=version)
 
-    reported = ingest.reported_events(batch.reports).join(batch.found("unknown").select("offset"), "offset", "left_anti")
     by_model = rules.to_events(found)
-    events = rules.to_events(hits).unionByName(by_model).unionByName(ingest.offline_events(batch.states, settings)).unionByName(
-        reported.select(*by_model.columns)).unionByName(
-        sequences.heartbeat_events(gone, settings.heartbeat_timeout_seconds).withColumn("offset", F.lit(None).cast("long")))
-    events = store.stage("_events", version, events.withColumn("part", F.lit("all")), "part").drop("part")
-    new_events = store.unseen("events", events, version)
-    store.append("events", new_events.withColumn("created_at", created).drop("offset"), version)
-    write_alerts(store, batch, new_events, by_model, version, settings)
-
-    counters = aggregates.pipeline_counters(batch.checked, judged, events)
-    counters = counters.unionByName(gone.agg(F.count("*").alias("value")).select(F.lit("devices.offline_detected").alias("name"), "value"))
-    totals = add_totals(store, counters.where("value > 0"), version)
+    events = rules.to_events(hits).unionByName(by_model)
+    if batch.has("status"):
+        events = events.unionByName(ingest.offline_events(batch.states, settings))
+    if batch.has("events"):
+        reported = ingest.reported_events(batch.reports).join(batch.found("unknown").select("offset"), "offset", "left_anti")
+        events = events.unionByName(reported.select(*by_model.columns))
+    if batch.has("offline"):
+        lost = sequences.heartbeat_events(gone, settings.heartbeat_timeout_seconds)
+        events = events.unionByName(lost.withColumn("offset", F.lit(None).cast("long")))
+    if batch.has("telemetry", "status", "events", "offline"):
+        events = store.stage("_events", version, events.withColumn("part", F.lit("all")), "part").drop("part")
+        new_events = store.unseen("events", events, version)
+        store.append("events", new_events.withColumn("created_at", created).drop("offset"), version)
+        write_alerts(store, batch, new_events, by_model, version, settings)
+
+    if judged is None:
+        judged = batch.readings.select(F.lit(0).alias("copies"), F.lit(0).alias("kept"), F.lit(False).alias("store_raw"), F.lit(False).alias("is_new"))
+    counters = aggregates.pipeline_counters(batch.checked, judged, events).where("value > 0")
+    if batch.has("offline"):
+        counters = counters.unionByName(gone.agg(F.count("*").alias("value")).select(F.lit("devices.offline_detected").alias("name"), "value"))
+    totals = add_totals(store, counters, version)
     spent = time.monotonic() - began
-    counted = batch.checked.where("error_type IS NULL").groupBy("message_type").agg(F.count("*").alias("n")).collect()  # three kinds
-    whole = max(1, sum(r["n"] for r in counted))
-    timed += [(r["message_type"], r["n"], spent * r["n"] / whole) for r in counted]
+    kinds = [k for k in ("telemetry", "status", "events") if batch.has(k)]
+    whole = sum(batch.counts[k] for k in kinds)
+    timed += [(k, batch.counts[k], spent * batch.counts[k] / whole) for k in kinds]
     latencies = add_latencies(store, timed, version, settings.metrics_latency_samples)
     store.append("system_metrics", ingest.metric_rows(totals, latencies, batch.at).withColumn("created_at", created), version)
     for name in ("_batch", "_judged", "_events", "_scored", "_windows", "_model_marks"):
