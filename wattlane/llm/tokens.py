@@ -80,17 +80,19 @@ def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
     rows = docs.select("_k1", "_k2", F.explode(pieces).alias("piece"))
     by_row = rows.join(F.broadcast(head), F.col("piece") == F.col("known"), "left").groupBy(
         "_k1", "_k2", F.when(F.col("known").isNull(), F.col("piece")).alias("rare")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("times"), F.count(F.when(F.col("piece").isNull(), True)).alias("copies"))
+        # Tokens of known pieces, and times of a rare one; the null piece only counts the row.
+        F.sum(F.when(F.col("piece").isNull(), 0).otherwise(F.coalesce("n", F.lit(1)))).alias("n"),
+        F.count(F.when(F.col("piece").isNull(), True)).alias("copies"))
     by_row = cut_lineage(by_row)
 
     rare = by_row.where(F.col("rare").isNotNull())
     vocabulary = counted(rare.select(F.col("rare").alias("word")).distinct(), path, "word")
     rest = rare.join(vocabulary.withColumnRenamed("n", "each"), F.col("rare") == F.col("word")).select(
-        "_k1", "_k2", (F.col("times") * F.col("each")).alias("n"), F.lit(0).cast("long").alias("copies"))
+        "_k1", "_k2", (F.col("n") * F.col("each")).alias("n"), F.lit(0).cast("long").alias("copies"))
     whole = counted(docs.where(odd).select("_k1", "_k2", "text"), path, "text").select(
         "_k1", "_k2", "n", F.lit(0).cast("long").alias("copies"))
     # Copies of a row share its key: the sum over all of them is shared out again.
-    total = by_row.where(F.col("rare").isNull()).select("_k1", "_k2", F.coalesce("n", F.lit(0)).alias("n"), "copies").unionByName(
+    total = by_row.where(F.col("rare").isNull()).select("_k1", "_k2", "n", "copies").unionByName(
         rest).unionByName(whole).groupBy("_k1", "_k2").agg((F.sum("n") / F.sum("copies")).cast("long").alias("pieces"))
     size = docs.select("doc", "_k1", "_k2", F.octet_length("text").cast("long").alias("n_bytes"),
                        F.when(odd, F.lit(0)).otherwise(F.size(F.split("text", special)) - 1).alias("specials"))
