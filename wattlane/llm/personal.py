@@ -30,14 +30,23 @@ SUPPORT, LEAST_SCORE, LEAST_CONFIDENCE = 3, 0.8, 0.5
 CONTEXT = 60
 
 
+def _fresh(characters: str) -> str:
+    """Where a run of the characters begins, or the last match has ended.
+
+    From a later place of a run that does not fit, nothing fits either; without this each
+    place would read the rest of the run again.
+    """
+    return rf"(?:\G|(?<![{characters}]))"
+
+
 def _marked(text: Column, kind: str) -> tuple[Column, str]:
     """A copy of equal length and the pattern that finds the kind in it."""
     clean = F.translate(text, DOT + GAP, "  ")
     if kind == "email":
         return (F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT),
-                rf"[A-Za-z0-9.{DOT}_%+-]++@[A-Za-z0-9-]+{DOT}[A-Za-z0-9{DOT}-]+")
+                rf"{_fresh(f'A-Za-z0-9.{DOT}_%+-')}[A-Za-z0-9.{DOT}_%+-]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]+")
     if kind == "ip":
-        return clean, r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+        return clean, rf"{_fresh('0-9')}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
     if kind == "card":
         return F.regexp_replace(clean, r"(?<=[0-9])[ -](?=[0-9])", GAP), rf"[0-9][0-9{GAP}]+"
     if kind == "phone":
