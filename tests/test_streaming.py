@@ -300,7 +300,7 @@ def process(spark, models, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, small, process):
     source = fx.messages(spark, small).where("offset < 300")
-    process(source.where("offset < 150"), 1)
+    process(source.where("offset < 150"), 1, model=False)
     store = process(source.where("offset >= 150"), 2)
     before = contents(store)
     assert contents(process(source.where("offset >= 150"), 2)) == before
@@ -318,7 +318,7 @@ def test_redelivered_messages_add_nothing(spark, small, process):
     assert totals["readings.stored"] == once.count() and totals["readings.duplicates"] == totals["messages.telemetry"] - once.count()
 
 
-@pytest.mark.parametrize("mode,inline,expected", [("rules", False, {"rules"}), ("ml", False, {"ml"}), ("hybrid", True, {"rules", "ml"})])
+@pytest.mark.parametrize("mode,inline,expected", [("ml", False, {"ml"}), ("hybrid", True, {"rules", "ml"})])
 def test_detection_modes(spark, small, process, mode, inline, expected):
     settings = Settings(detection_mode=mode, ml_inline=inline, storage_policy="event_only")
     source = fx.messages(spark, small).where("offset < 400")
