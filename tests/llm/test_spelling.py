@@ -69,7 +69,7 @@ def test_pivots_are_the_cheapest_disjoint_pair(word, counts):
     assert keys[pivots[0]][0] + keys[pivots[1]][0] == min(keys[i][0] + keys[j][0] for i in prefix for j in prefix if j - i >= 2)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_no_near_pair_is_missed(spark, seed):
     """A small alphabet makes long lists of equal bigrams and words with many near words."""
     rng = random.Random(seed)
