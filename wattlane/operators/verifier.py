@@ -128,6 +128,31 @@ def _linear(center: np.ndarray, axes: np.ndarray) -> Reconstruct:
     return rebuild
 
 
+def scale_of(windows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature over all readings of the windows."""
+    item = windows.select(F.posexplode("x").alias("i", "v")).groupBy((F.col("i") % WIDTH).alias("f")).agg(
+        F.avg("v").alias("m"), F.stddev_pop("v").alias("s")
+    )
+    stats = sorted(item.collect(), key=lambda r: r["f"])  # six rows
+    if not stats:
+        raise ValueError("no complete window")
+    return np.array([r["m"] for r in stats]), np.array([r["s"] for r in stats]) + 1e-8
+
+
+def with_threshold(windows: DataFrame, model: Verifier, quantile: float = 0.95) -> Verifier:
+    """The model with the quantile of its errors over the windows as threshold."""
+    errors = _errors(windows, model).select(F.explode("e").alias("e"))
+    cut = exact_quantiles(errors, "e", [quantile]).first()["value"]
+    return Verifier(model.mean, model.std, model.reconstruct, float(cut), model.window)
+
+
+def fit_to(readings: DataFrame, reconstruct: Reconstruct, *, window: int = 8, threshold_quantile: float = 0.95) -> Verifier:
+    """A verifier of given weights, with scale and threshold from (normal) readings."""
+    windows = cut_lineage(window_rows(readings, window))
+    mean, std = scale_of(windows)
+    return with_threshold(windows, Verifier(tuple(mean), tuple(std), reconstruct, float("inf"), window), threshold_quantile)
+
+
 def train_linear(
     readings: DataFrame, *, components: int = 16, window: int = 8, threshold_quantile: float = 0.95,
 ) -> Verifier:
@@ -136,14 +161,7 @@ def train_linear(
     Training makes several passes over all windows, kept in the checkpoint folder.
     """
     windows = cut_lineage(window_rows(readings, window))
-    item = windows.select(F.posexplode("x").alias("i", "v")).groupBy((F.col("i") % WIDTH).alias("f")).agg(
-        F.avg("v").alias("m"), F.stddev_pop("v").alias("s")
-    )
-    stats = sorted(item.collect(), key=lambda r: r["f"])  # six rows
-    if not stats:
-        raise ValueError("no complete window")
-    mean = np.array([r["m"] for r in stats])
-    std = np.array([r["s"] for r in stats]) + 1e-8
+    mean, std = scale_of(windows)
     shift = F.array(*[F.lit(float(v)) for v in np.tile(mean, window)])
     scale = F.array(*[F.lit(float(v)) for v in np.tile(std, window)])
     z = F.transform(F.arrays_zip("x", shift.alias("m"), scale.alias("s")), lambda p: (p["x"] - p["m"]) / p["s"])
@@ -152,6 +170,4 @@ def train_linear(
     center_rows = vectors.select(F.posexplode("a").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()
     center = np.array([r["m"] for r in sorted(center_rows, key=lambda r: r["i"])])
     model = Verifier(tuple(mean), tuple(std), _linear(center, axes), float("inf"), window)
-    errors = _errors(windows, model).select(F.explode("e").alias("e"))
-    cut = exact_quantiles(errors, "e", [threshold_quantile]).first()["value"]
-    return Verifier(model.mean, model.std, model.reconstruct, float(cut), window)
+    return with_threshold(windows, model, threshold_quantile)

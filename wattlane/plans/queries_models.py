@@ -95,12 +95,8 @@ def _fixed_weights(hidden: int = 16) -> dict[str, np.ndarray]:
 @query("k6_window_verdicts")
 def _(spark, sf):
     rows = fx.arrivals(spark, sf)
-    parts = ("voltage_v", "current_a", "power_w", "temperature_c")
-    stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    mean = [stats[f"m_{c}"] for c in parts] + [5.0, 0.0]
-    std = [stats[f"s_{c}"] for c in parts] + [5.0, 100.0]
-    rebuild = verifier.sequence_autoencoder(_fixed_weights())
-    model = verifier.Verifier(tuple(mean), tuple(std), rebuild, 1.0)
+    # The weights are fixed and untrained; scale and threshold come from the data.
+    model = verifier.fit_to(_normal(spark, sf), verifier.sequence_autoencoder(_fixed_weights()))
     return verifier.verdicts(rows, model).withColumn("recon_error", F.round("recon_error", 9))
 
 
