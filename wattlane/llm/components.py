@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .tables import cut_lineage, small_enough
 
-#: Bands with several ids, up to this number, are broadcast (some 30 bytes each).
+#: Bands with more than two ids, up to this number, are broadcast (some 30 bytes each).
 BROADCAST_BANDS = 100_000
 
 
@@ -53,12 +53,16 @@ def linked(bands: DataFrame, links: DataFrame, verify: Callable[[DataFrame], Dat
     in blocks. Pairs inside a component need no comparison: the components are those of all
     accepted pairs.
     """
-    crowd = cut_lineage(bands.groupBy("band").agg(F.count("*").alias("k")).where(F.col("k") > 1))
+    shared = cut_lineage(bands.groupBy("band").agg(
+        F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("k") > 1))
+    # Most shared bands hold two ids, which the one aggregate names; only the others need their rows.
+    twos = shared.where((F.col("k") == 2) & (F.col("a") != F.col("b"))).select("a", "b")
+    crowd = shared.where(F.col("k") > 2).select("band", "k")
     rows = cut_lineage(bands.join(F.broadcast(crowd) if small_enough(crowd, BROADCAST_BANDS) else crowd, "band"))
     met = rows.groupBy("id").agg(F.sum("k").alias("met"))
     lead = cut_lineage(rows.join(met, "id").groupBy("band").agg(F.max_by("id", "met").alias("lead")))
     rest = rows.join(lead, "band").where(F.col("id") != F.col("lead"))
-    tried = cut_lineage(rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+    tried = cut_lineage(rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).unionByName(twos).distinct())
     links = cut_lineage(links.unionByName(verify(tried)))
     rows = _open(rest, components(links))
     for _ in range(rounds - 1):

@@ -12,7 +12,7 @@ band that it shares. No link between components is left out, and no join gives a
 
 Texts without words, null and empty ones are linked with nothing. Rows with a null id are
 not linked: their component is null and they are kept. Rows that share an id count as one
-document, linked. Other columns are not read. Empty tables give empty tables.
+document, linked, and each of its texts is compared. Other columns are not read. Empty tables give empty tables.
 """
 from __future__ import annotations
 
@@ -176,19 +176,44 @@ def compared(rows: DataFrame, documents: DataFrame, share: int = SHARE) -> DataF
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col("id").isNotNull())
+    several = cut_lineage(texts.groupBy("id").agg(
+        F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y").select("id"))
+    if several.isEmpty():
+        sketched, labels = _labelled(docs)
+        labels = labels.withColumnRenamed("root", "component")
+    else:
+        # Each text of such an id is compared under a key of its own; the id then links them.
+        marked = docs.join(several.withColumn("_s", F.lit(True)), "id", "left")
+        keyed = cut_lineage(marked.select("id", F.when(F.col("_s"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("key"), "text"))
+        own = keyed.where(F.col("id").isNotNull()).select("id", "key").distinct()
+        same = own.join(own.groupBy("id").agg(F.min("key").alias("a")), "id").where(F.col("key") != F.col("a"))
+        sketched, labels = _labelled(keyed.select(F.col("key").alias("id"), "text"), same.select("a", F.col("key").alias("b")))
+        ids = own.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        least = ids.groupBy("root").agg(F.min("id").alias("component"))
+        labels = cut_lineage(ids.join(least, "root").select("key", "id", "component"))
+        # A key tells the rows of one id and text, so the sketch of its key is the row's.
+        sizes = sketched.where(F.col("id").isNotNull()).select(F.col("id").alias("key"), "n").distinct()
+        sketched = keyed.select("id", "key").join(sizes, "key").select("id", "n").unionByName(
+            sketched.where(F.col("id").isNull()).select("id", "n"))
+        labels = labels.select("id", "component").distinct()
+    return sketched.join(labels, "id", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
+        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _labelled(docs: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sketches of (id, text), an id for each text, and (id, root) of what links connect."""
     sketched = cut_lineage(sketches(docs))
     useful = sketched.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut_lineage(useful.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs")))
     members = useful.join(classes.select("d1", "d2", "n", F.col("id").alias("a")), ["d1", "d2", "n"]).select(
         "a", F.col("id").alias("b")).where(F.col("a") != F.col("b"))
+    members = members if links is None else members.unionByName(links)
     texts = docs.where(F.col("id").isNotNull())
-    chosen = classes.dropDuplicates(["id"])
-    links = linked(band_rows(chosen), members, lambda pairs: verified(_likely(pairs, chosen), texts),
+    found = linked(band_rows(classes), members, lambda pairs: verified(_likely(pairs, classes), texts),
                    lambda rows: compared(rows, texts))
-    labels = components(links).select(F.col("node").alias("id"), "root")
-    return sketched.join(labels, "id", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"),
-        F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    return sketched, components(found).select(F.col("node").alias("id"), "root")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
