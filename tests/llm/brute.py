@@ -79,9 +79,9 @@ def near_duplicates(docs, share=75):
     return [(i, len(s), find(parent, i)) for i, s in sets.items()]
 
 
-def line_shingles(line):
+def line_shingles(line, length=8):
     low = line.lower()
-    return {low[m.start():m.start() + 12] for m in re.finditer(r"(?<!\S)\S", low, re.ASCII)}
+    return {low[i:i + length] for i in range(max(1, len(low) - length + 1))}
 
 
 def dropped_lines(docs, share=75):

@@ -3,13 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut_lineage, small_enough
-
-#: Bands with more than two ids, up to this number, are broadcast (some 30 bytes each).
-BROADCAST_BANDS = 100_000
+from .tables import cut_lineage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,6 +39,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def shared_rows(bands: DataFrame) -> DataFrame:
+    """(band, id, k): the distinct rows of bands with several ids; k counts the rows of the band.
+
+    One exchange of the rows by band; each band is read as a window, which spills if it is large.
+    """
+    own = Window.partitionBy("band")
+    rows = bands.select("band", "id", F.count("*").over(own).alias("k"), F.min("id").over(own).alias("lo"), F.max("id").over(own).alias("hi"))
+    return rows.where(F.col("lo") != F.col("hi")).select("band", "id", "k").distinct()
+
+
 def linked(bands: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame],
            compare: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """(a, b): ``links`` and all pairs of a band that are similar enough, up to paths.
@@ -53,16 +60,11 @@ def linked(bands: DataFrame, links: DataFrame, verify: Callable[[DataFrame], Dat
     in blocks. Pairs inside a component need no comparison: the components are those of all
     accepted pairs.
     """
-    shared = cut_lineage(bands.groupBy("band").agg(
-        F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("k") > 1))
-    # Most shared bands hold two ids, which the one aggregate names; only the others need their rows.
-    twos = shared.where((F.col("k") == 2) & (F.col("a") != F.col("b"))).select("a", "b")
-    crowd = shared.where(F.col("k") > 2).select("band", "k")
-    rows = cut_lineage(bands.join(F.broadcast(crowd) if small_enough(crowd, BROADCAST_BANDS) else crowd, "band"))
+    rows = cut_lineage(shared_rows(bands))
     met = rows.groupBy("id").agg(F.sum("k").alias("met"))
     lead = cut_lineage(rows.join(met, "id").groupBy("band").agg(F.max_by("id", "met").alias("lead")))
     rest = rows.join(lead, "band").where(F.col("id") != F.col("lead"))
-    tried = cut_lineage(rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).unionByName(twos).distinct())
+    tried = cut_lineage(rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
     links = cut_lineage(links.unionByName(verify(tried)))
     rows = _open(rest, components(links))
     for _ in range(rounds - 1):

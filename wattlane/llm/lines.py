@@ -7,6 +7,9 @@ pairs with a Jaccard similarity of at least 75 in 100 of the full shingle sets a
 Of each component of links the line of the smallest (document, place) stays; all others go,
 exact copies included.
 
+Hashes, minima and exact comparisons are made in numpy, batch by batch: array functions took
+1,300 CPU seconds a GB for the signatures alone, of 400 allowed. All else is DataFrame code.
+
 Two lines at the threshold share a band with a chance of 99.9 %. Exact copies are told by
 128 bits of hash and need no signature; the link graph names lines by 64 bits.
 
@@ -16,23 +19,25 @@ and text count as one document, rows that share the id alone are ordered by a ha
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import characters as C
 from . import text as T
 from .components import components, in_blocks, linked
-from .tables import cut_lineage, row_key, small_enough
+from .tables import bound_batches, cut_lineage, row_key, small_enough
 
-#: Characters of a shingle. Unrelated lines of a language share many shorter strings: at 5
-#: they met in the bands some thousand times as often as at 8.
-LENGTH = 8
-SHINGLE = rf"(?s)(?=(.{{{LENGTH}}}))."
 SHARE = 75
-BANDS, ROWS = 18, 4
-#: Width of the part of the hash range that gives one minimum.
-PART = (1 << 64) // (BANDS * ROWS)
-#: Up to so many candidate lines, their texts are found by broadcast (some 50 bytes each).
-BROADCAST_LINES = 100_000
+#: Up to so many line keys, lines are found by broadcast (some 30 bytes a key).
+BROADCAST_LINES = 200_000
+#: Up to so many bytes, the texts of candidate lines are broadcast to their pairs.
+BROADCAST_BYTES = 8 << 20
+#: Up to so many groups, their best lines are broadcast (some 100 bytes each).
+BROADCAST_GROUPS = 100_000
 #: Lines of a block; two blocks are compared in one row.
 BLOCK = 100
 
@@ -47,83 +52,79 @@ def line_key() -> list[Column]:
     return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")]
 
 
-def shingle_hashes(line: Column) -> Column:
-    """The hash of the shingle at each place."""
-    return T.hashes(F.when(F.length(line) <= LENGTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))))
-
-
-def shingle_set(line: Column) -> Column:
-    return F.array_distinct(shingle_hashes(line))
-
-
-def band_keys(hashes: Column) -> Column:
-    """The hashes of the bands that hold a minimum.
-
-    The lower ends of the parts are sorted in among the hashes; what follows an end is the
-    minimum of its part, or the next end if the part is empty. Only native functions touch
-    each hash, no lambda.
-    """
-    half = BANDS // 2
-    ends = F.array(*[F.lit(i * PART).cast("long") for i in range(-half * ROWS, half * ROWS)])
-
-    def key(s: Column, b: Column) -> Column:
-        first = F.array_position(s, b * (ROWS * PART))
-        last = F.when(b < half - 1, F.array_position(s, F.least(b + 1, F.lit(half - 1)) * (ROWS * PART))).otherwise(F.size(s) + 1)
-        return T.let(F.slice(s, first, last - first), lambda own: F.when(F.size(own) > ROWS, F.xxhash64(b, *[
-            F.get(own, F.array_position(own, (b * ROWS + j) * PART).cast("int")) for j in range(ROWS)])))
+def band_rows(lines: DataFrame) -> DataFrame:
+    """(band, id): a row for each band of each line (k1, line); a task names a line once."""
+    bound_batches(lines.sparkSession)
 
-    keys = T.let(F.sort_array(F.concat(hashes, ends)), lambda s: F.transform(
-        F.sequence(F.lit(-half).cast("long"), F.lit(half - 1).cast("long")), lambda b: key(s, b)))
-    return F.array_compact(keys)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # lines of one task
+        for batch in batches:
+            new = []
+            for i, k in enumerate(batch.column("k1").to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            if new:
+                own = batch.take(pa.array(new))
+                line, band = C.band_keys(own.column("line").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(band), pa.array(own.column("k1").to_numpy(zero_copy_only=False)[line])], names=["band", "id"])
 
+    return lines.select("k1", "line").mapInArrow(run, "band bigint, id bigint")
 
-def line_texts(keys: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(k1, line): the wanted lines, from the documents they stand in.
-
-    Tasks cut them into shingles where they compare: the sets are several times as long.
-    """
-    places = cut_lineage(homes.join(keys, "k1").groupBy("doc").agg(F.collect_list(F.struct("k1", "pos")).alias("places")))
-    few = small_enough(places.select(F.explode("places")), BROADCAST_LINES)
-    texts = documents.join(F.broadcast(places) if few else places, "doc").select("places", F.split(F.lower("text"), "\n").alias("l"))
-    found = T.let(F.col("l"), lambda l: F.transform("places", lambda p: F.struct(
-        p["k1"].alias("k1"), F.get(l, p["pos"]).alias("line"))))
-    return cut_lineage(texts.select(F.explode(found).alias("p")).select("p.k1", "p.line").dropDuplicates(["k1"]))
 
+def line_texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """(k1, line): the wanted lines."""
+    wanted = F.broadcast(keys) if small_enough(keys, BROADCAST_LINES) else keys
+    return cut_lineage(lines.join(wanted, "k1", "left_semi").groupBy("k1").agg(F.first("line").alias("line")))
 
-def _similar(x: Column, y: Column) -> Column:
-    """Whether 100 times the common shingles is at least SHARE times all of both; sizes first."""
-    n, m = F.size(x), F.size(y)
-    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (
-        (100 + SHARE) * F.size(F.array_intersect(x, y)) >= SHARE * (n + m))
 
-
-def verified(pairs: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of line keys whose full shingle sets are similar enough."""
-    pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    texts = line_texts(wanted, homes, documents)
+    wanted = cut_lineage(pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct())
+    texts = line_texts(wanted, lines)
+    size = texts.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    texts = F.broadcast(texts) if size <= BROADCAST_BYTES else texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (C.shingle_sets(batch.column(c).to_pylist()) for c in ("x", "y"))
+                keep = [C.similar(p, q, SHARE) for p, q in zip(x, y, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     joined = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("k1").alias("b"), F.col("line").alias("y")), "b")
-    return joined.where(T.let(shingle_set(F.col("x")), lambda x: T.let(
-        shingle_set(F.col("y")), lambda y: _similar(x, y)))).select("a", "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def compared(rows: DataFrame, homes: DataFrame, documents: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b): the similar pairs of different components among the lines of each band."""
-    texts = line_texts(rows.select(F.col("id").alias("k1")).distinct(), homes, documents)
+    texts = line_texts(cut_lineage(rows.select(F.col("id").alias("k1")).distinct()), lines)
     blocks = cut_lineage(in_blocks(rows, BLOCK).join(texts, F.col("id") == F.col("k1")).groupBy("band", "blk").agg(
         F.collect_list(F.struct("id", "comp", "line")).alias("own")))
     both = blocks.join(blocks.select("band", F.col("blk").alias("blk2"), F.col("own").alias("other")), "band").where(
         F.col("blk") <= F.col("blk2"))
 
-    def cut(block: str) -> Column:
-        return F.transform(block, lambda x: F.struct(x["id"].alias("id"), x["comp"].alias("comp"), shingle_set(x["line"]).alias("s")))
-
-    links = T.let(cut("own"), lambda own: T.let(cut("other"), lambda other: F.flatten(F.transform(own, lambda x: F.transform(
-        F.filter(other, lambda y: (x["comp"] < y["comp"]) & _similar(x["s"], y["s"]) | (
-            (x["comp"] > y["comp"]) & (F.col("blk") < F.col("blk2")) & _similar(x["s"], y["s"]))),
-        lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))))
-    return both.select(F.explode(links).alias("p")).select("p.a", "p.b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for own, other in zip(batch.column("own"), batch.column("other"), strict=True):
+                own, other = own.values, other.values
+                ids, sets, comps = ([], [], [])
+                for block in (own, other):
+                    ids.append(block.field("id").to_numpy(zero_copy_only=False))
+                    comps.append(block.field("comp").to_numpy(zero_copy_only=False))
+                    sets.append(C.shingle_sets(block.field("line").to_pylist()))
+                links = C.similar_pairs(*sets, SHARE) & (comps[0][:, None] != comps[1][None, :])
+                i, j = np.nonzero(links)
+                a.append(ids[0][i])
+                b.append(ids[1][j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    found = both.select("own", "other").mapInArrow(run, "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def document(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -134,22 +135,19 @@ def document(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, dropped): the places of the lines that go, of each document that loses some."""
     docs = documents.where(F.col(id_col).isNotNull()).select(document(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = split_lines(docs)
-    sketched = lines.select("doc", "pos", *line_key(), band_keys(shingle_hashes(F.col("line"))).alias("bands"))
-    unique = cut_lineage(sketched.groupBy("k1", "k2").agg(
-        F.min(F.struct("doc", "pos")).alias("home"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    homes = unique.select("k1", "home.doc", "home.pos")
-    bands = unique.select(F.explode("bands").alias("band"), F.col("k1").alias("id"))
-    none = unique.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links = linked(bands, none, lambda pairs: verified(pairs, homes, docs), lambda rows: compared(rows, homes, docs), rounds=1)
-    labels = components(links).withColumnRenamed("node", "k1")
-    marked = unique.select("k1", "k2", "home", "copies").join(labels, "k1", "left").where(
-        F.col("root").isNotNull() | (F.col("copies") > 1))
-    marked = cut_lineage(marked.withColumn("group", F.coalesce("root", "k1")))
-    best = marked.groupBy("group").agg(F.min("home").alias("best"))
-    decided = marked.join(best, "group").select("k1", "k2", "best")
-    gone = lines.select("doc", "pos", *line_key()).join(decided, ["k1", "k2"]).where(
-        (F.col("doc") != F.col("best.doc")) | (F.col("pos") != F.col("best.pos")))
+    lines = split_lines(docs).select("doc", "pos", "line", *line_key())
+    texts = lines.select("k1", "line")
+    none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    links = linked(band_rows(texts), none, lambda pairs: verified(pairs, texts), lambda rows: compared(rows, texts), rounds=1)
+    labels = cut_lineage(components(links).withColumnRenamed("node", "k1"))
+    # A line is in the group of its component, or else in that of its exact copies.
+    labels = F.broadcast(labels) if small_enough(labels, BROADCAST_LINES) else labels
+    places = lines.select("doc", "pos", "k1", "k2").join(labels, "k1", "left").select(
+        "doc", "pos", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(0).alias("g2"))
+    groups = cut_lineage(places.groupBy("g1", "g2").agg(F.min(F.struct("doc", "pos")).alias("best"), F.count("*").alias("n")).where(
+        F.col("n") > 1).select("g1", "g2", "best"))
+    groups = F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups
+    gone = places.join(groups, ["g1", "g2"]).where((F.col("doc") != F.col("best.doc")) | (F.col("pos") != F.col("best.pos")))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
