@@ -60,10 +60,9 @@ def linked(bands: DataFrame, links: DataFrame, verify: Callable[[DataFrame], Dat
     in blocks. Pairs inside a component need no comparison: the components are those of all
     accepted pairs.
     """
-    rows = cut_lineage(shared_rows(bands))
-    met = rows.groupBy("id").agg(F.sum("k").alias("met"))
-    lead = cut_lineage(rows.join(met, "id").groupBy("band").agg(F.max_by("id", "met").alias("lead")))
-    rest = rows.join(lead, "band").where(F.col("id") != F.col("lead"))
+    met = shared_rows(bands).withColumn("met", F.sum("k").over(Window.partitionBy("id")))
+    lead = met.withColumn("lead", F.max_by("id", F.struct("met", "id")).over(Window.partitionBy("band")))
+    rest = cut_lineage(lead.where(F.col("id") != F.col("lead")).select("band", "id", "k", "lead"))
     tried = cut_lineage(rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
     links = cut_lineage(links.unionByName(verify(tried)))
     rows = _open(rest, components(links))

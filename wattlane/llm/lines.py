@@ -32,8 +32,8 @@ from .components import components, in_blocks, linked
 from .tables import bound_batches, cut_lineage, row_key, small_enough
 
 SHARE = 75
-#: Up to so many line keys, lines are found by broadcast (some 30 bytes a key).
-BROADCAST_LINES = 200_000
+#: Up to so many line keys, lines are found by broadcast (some 40 bytes a key).
+BROADCAST_LINES = 1_000_000
 #: Up to so many bytes, the texts of candidate lines are broadcast to their pairs.
 BROADCAST_BYTES = 8 << 20
 #: Up to so many groups, their best lines are broadcast (some 100 bytes each).
@@ -89,8 +89,10 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (C.shingle_sets(batch.column(c).to_pylist()) for c in ("x", "y"))
-                keep = [C.similar(p, q, SHARE) for p, q in zip(x, y, strict=True)]
+                x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+                own = list(dict.fromkeys(x + y))
+                sets = dict(zip(own, C.shingle_sets(own), strict=True))
+                keep = [C.similar(sets[p], sets[q], SHARE) for p, q in zip(x, y, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("x")), "a").join(
@@ -101,21 +103,26 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def compared(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b): the similar pairs of different components among the lines of each band."""
     texts = line_texts(cut_lineage(rows.select(F.col("id").alias("k1")).distinct()), lines)
-    blocks = cut_lineage(in_blocks(rows, BLOCK).join(texts, F.col("id") == F.col("k1")).groupBy("band", "blk").agg(
+    blocks = cut_lineage(in_blocks(rows, BLOCK).join(texts, F.col("id") == F.col("k1")).groupBy("band", "blk", "blks").agg(
         F.collect_list(F.struct("id", "comp", "line")).alias("own")))
-    both = blocks.join(blocks.select("band", F.col("blk").alias("blk2"), F.col("own").alias("other")), "band").where(
+    # Nearly all bands have one block, which needs no partner.
+    alone = blocks.where(F.col("blks") == 1).select("own", F.lit(None).cast(blocks.schema["own"].dataType).alias("other"))
+    several = blocks.where(F.col("blks") > 1)
+    both = several.join(several.select("band", F.col("blk").alias("blk2"), F.col("own").alias("other")), "band").where(
         F.col("blk") <= F.col("blk2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for own, other in zip(batch.column("own"), batch.column("other"), strict=True):
-                own, other = own.values, other.values
-                ids, sets, comps = ([], [], [])
-                for block in (own, other):
-                    ids.append(block.field("id").to_numpy(zero_copy_only=False))
-                    comps.append(block.field("comp").to_numpy(zero_copy_only=False))
-                    sets.append(C.shingle_sets(block.field("line").to_pylist()))
+                ids, sets, comps = [], [], []
+                for block in (own.values, other.values):
+                    if block is not None:
+                        ids.append(block.field("id").to_numpy(zero_copy_only=False))
+                        comps.append(block.field("comp").to_numpy(zero_copy_only=False))
+                        sets.append(C.shingle_sets(block.field("line").to_pylist()))
+                if len(ids) == 1:
+                    ids, sets, comps = 2 * ids, 2 * sets, 2 * comps
                 links = C.similar_pairs(*sets, SHARE) & (comps[0][:, None] != comps[1][None, :])
                 i, j = np.nonzero(links)
                 a.append(ids[0][i])
@@ -123,7 +130,7 @@ def compared(rows: DataFrame, lines: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    found = both.select("own", "other").mapInArrow(run, "a bigint, b bigint")
+    found = both.select("own", "other").unionByName(alone).mapInArrow(run, "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
