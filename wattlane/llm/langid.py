@@ -13,12 +13,13 @@ replaced.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,21 +164,27 @@ def has_letter(text: Column) -> Column:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from an even sample of the labels; None if no row has a label and a letter."""
+    """A model from an even sample of the labels; None if no row has a label and a letter.
+
+    A label gives up to its share of ``sample_rows`` different texts, so copies of one text
+    count once and crowd out nothing.
+    """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull() & has_letter(F.col("text")))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    rows = rows.withColumn("r", F.xxhash64("text", "label"))
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("r").alias("texts")).orderBy(
+        F.desc("texts"), "label").limit(MAX_LABELS).collect()
     if not counts:
         return None
     each = sample_rows / len(counts)
-    share = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(min(1.0, each / r["count"]))) for r in counts])
-    mixed = F.xxhash64("text", "label")
-    chosen = rows.withColumn("r", mixed).where(F.pmod("r", F.lit(1_000_000)) < share * 1_000_000).withColumn(
-        "n", F.length("text"))
+    share = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(min(1.0, 1.25 * each / max(r["texts"], 1)))) for r in counts])
+    chosen = rows.where(F.pmod("r", F.lit(1_000_000)) < share * 1_000_000).withColumn("n", F.length("text"))
     cuts = [F.substring("text", 1 + F.pmod(F.shiftright("r", s), F.greatest(F.col("n") - size, F.lit(1))).cast("int"), size)
             for s, size in ((3, WINDOW - PAD), (11, 60), (19, 20))]
-    sample = chosen.select("r", "label", F.explode(F.array(*[c.substr(F.lit(1), F.lit(WINDOW)) for c in cuts])).alias("cut"))
-    sample = sample.where(has_letter(F.col("cut"))).orderBy("r", "label", "cut").limit(3 * sample_rows).collect()
+    texts = chosen.select("r", "label", F.array(*[c.substr(F.lit(1), F.lit(WINDOW)) for c in cuts]).alias("cuts")).dropDuplicates(["r", "label"])
+    first = texts.withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("r"))).where(F.col("i") <= math.ceil(each))
+    sample = first.select("r", "label", F.explode("cuts").alias("cut")).where(has_letter(F.col("cut"))).orderBy(
+        "r", "label", "cut").limit(3 * sample_rows).collect()
     return fit([r["cut"].encode() for r in sample], [r["label"] for r in sample]) if sample else None
 
 
