@@ -69,7 +69,7 @@ def test_contamination(spark, docs, rows, empty):
 
 def test_shuffled_contamination(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_FINGERPRINTS", 0)
-    monkeypatch.setattr(decontamination, "BROADCAST_DOCUMENTS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     items = [(1, " ".join(rows[9][1].split()[3:30]))]
     got = decontamination.contamination(docs.where("doc_id is not null"), spark.createDataFrame(items, "item_id int, text string"))
     want = brute.contamination([(r[0], r[1]) for r in rows], items)

@@ -26,7 +26,8 @@ GRAM = 8
 #: Benchmark fingerprints and hit documents up to these row counts are broadcast
 #: (some 50 bytes a row); beyond them the same joins shuffle.
 BROADCAST_FINGERPRINTS = 200_000
-BROADCAST_DOCUMENTS = 200_000
+#: Up to so many bytes, the hits of documents, with the texts of their windows, are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _gram(length: int) -> int:
@@ -125,7 +126,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     hits = found_rows.where(~F.col("last") & (F.col("start") >= 0)).groupBy("_k1", "_k2").agg(
         F.collect_set(F.struct("start", "win")).alias("hits"))
     texts = docs.select("text", *keys)
-    hit_docs = F.broadcast(hits) if small_enough(hits.select("_k1"), BROADCAST_DOCUMENTS) else hits
+    size = found_rows.where(F.col("win").isNotNull()).agg(F.sum(F.octet_length("win") + 24)).first()[0] or 0
+    hit_docs = F.broadcast(hits) if size <= BROADCAST_BYTES else hits
     joined = texts.join(hit_docs, ["_k1", "_k2"]).select(
         "_k1", "_k2", "hits", T.words(T.lower_ascii(F.col("text")), T.NOT_ALNUM).alias("w"))
     same = T.let(F.col("w"), lambda w: F.filter("hits", lambda x: F.array_join(
