@@ -69,6 +69,8 @@ def test_sets_are_those_of_the_definition(monkeypatch):
             for j, y in enumerate(want[40:]):
                 assert len(np.intersect1d(sets[i], sets[40 + j])) == len(x & y)
                 assert pairs[i, j] == (similarity(x, y) >= 0.75) == characters.similar(sets[i], sets[40 + j], 75)
+        own = characters.similar_pairs(sets, None, 75)
+        assert all(own[i, j] == (i != j and similarity(x, y) >= 0.75) for i, x in enumerate(want) for j, y in enumerate(want))
         least = [{int(h >> np.uint64(32)) * characters.PARTS >> 32 for h in s} for s in sets]
         assert [set(np.flatnonzero(m != characters.EMPTY)) for m in characters.minima(texts)] == least
 

@@ -104,17 +104,30 @@ def similar(x: np.ndarray, y: np.ndarray, share: int) -> bool:
     return (100 + share) * len(np.intersect1d(x, y, assume_unique=True)) >= share * (n + m)
 
 
-def similar_pairs(xs: list[np.ndarray], ys: list[np.ndarray], share: int) -> np.ndarray:
-    """len(xs) x len(ys): which pairs are similar; all common shingles are counted by products of 0/1 tables."""
-    nx, ny = (np.array([len(s) for s in sets]) for sets in (xs, ys))
-    every, place = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
-    row = np.repeat(np.arange(len(xs) + len(ys)), np.concatenate([nx, ny]))
+def similar_pairs(xs: list[np.ndarray], ys: list[np.ndarray] | None, share: int) -> np.ndarray:
+    """len(xs) x len(ys): which pairs are similar; without ``ys`` the pairs of ``xs`` itself, of which
+    that of a line and itself is left out.
+
+    Common shingles are counted by products of 0/1 tables; shingles of a single set have no column.
+    """
+    sets = [*xs, *(ys or [])]
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
     order = np.argsort(place, kind="stable")
-    place, row = place[order], row[order]
-    common = np.zeros((len(xs), len(ys)))
-    for at in range(0, len(every), COLUMNS):
+    order = order[count[place[order]] > 1]
+    place, row = column[place[order]], row[order]
+    width = int(column[-1]) + 1
+    first = slice(0, len(xs))
+    second = first if ys is None else slice(len(xs), len(sets))
+    common = np.zeros((len(xs), len(xs) if ys is None else len(ys)))
+    for at in range(0, width, COLUMNS):
         lo, hi = np.searchsorted(place, [at, at + COLUMNS])
-        table = np.zeros((len(xs) + len(ys), min(COLUMNS, len(every) - at)), np.float32)
+        table = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
         table[row[lo:hi], place[lo:hi] - at] = 1
-        common += table[:len(xs)] @ table[len(xs):].T
-    return (100 + share) * common >= share * (nx[:, None] + ny[None, :])
+        common += table[first] @ table[second].T
+    out = (100 + share) * common >= share * (n[first][:, None] + n[second][None, :])
+    if ys is None:
+        np.fill_diagonal(out, False)
+    return out

@@ -121,12 +121,10 @@ def compared(rows: DataFrame, lines: DataFrame) -> DataFrame:
                         ids.append(block.field("id").to_numpy(zero_copy_only=False))
                         comps.append(block.field("comp").to_numpy(zero_copy_only=False))
                         sets.append(C.shingle_sets(block.field("line").to_pylist()))
-                if len(ids) == 1:
-                    ids, sets, comps = 2 * ids, 2 * sets, 2 * comps
-                links = C.similar_pairs(*sets, SHARE) & (comps[0][:, None] != comps[1][None, :])
-                i, j = np.nonzero(links)
+                links = C.similar_pairs(sets[0], sets[1] if len(sets) > 1 else None, SHARE)
+                i, j = np.nonzero(links & (comps[0][:, None] != comps[-1][None, :]))
                 a.append(ids[0][i])
-                b.append(ids[1][j])
+                b.append(ids[-1][j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
