@@ -1,14 +1,18 @@
 """Hard negatives against plain Python."""
 from __future__ import annotations
 
+import math
 import random
+from fractions import Fraction
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wattlane.llm import negatives
+from wattlane.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, v int, shard string, score int"
 
@@ -88,3 +92,44 @@ def test_walk_is_certified_and_skips():
     shard.batches = lambda *a: (visited.append(len(x[1])) or x for x in whole(*a))
     best = shard.positives(-1, "a", anchor, 5)
     assert [s for s, _ in best] == sorted(scores.tolist())[-5:][::-1] and sum(visited) < len(rows) / 2
+
+
+def _contract(rows):
+    """The contract in Python's integers, components of whatever size."""
+    use = [(i, [math.floor(Fraction(x) * 256) for x in v], (label + 1) % 10 if i % 7 == 0 else label) for i, v, label in rows]
+    out = []
+    for a, v, label in use:  # each copy of a row is a row
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i, lab) for i, w, lab in use if i != a) if a % 100 == 0 else []
+        for s, p, _ in [x for x in scored if x[2] == label][:5]:
+            wrong = [(t, i) for t, i, lab in scored if lab != label and 30 * -s <= 100 * -t <= 90 * -s]
+            out += [(a, p, k, i, -s, -t) for k, (t, i) in enumerate(wrong[:10], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [100_000.0, 300_000.0])
+def test_query_takes_components_of_any_size(spark, tmp_path, scale):
+    """Components over 2^14 and scores over 2^53, of which a hundredfold is more than 64 bits hold."""
+    rng = random.Random(9)
+    rows = [(i, [float(np.float32((0.7 + rng.gauss(0, 0.3)) * (scale if i % 2 else 1.0))) for _ in range(6)], rng.randrange(3)) for i in range(400)]
+    rows += [(400 + i, [float(np.float32(scale * 10 ** rng.uniform(0, 1)))] * 6, i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["op13_hard_negatives"](spark, str(tmp_path)).collect()))
+    want = _contract(rows)
+    assert max(r[4] for r in want) > 1 << 53 and got == want
+
+
+def test_scores_beyond_64_bits():
+    """They keep their order, and a component of 64 bits or more its value."""
+    rows = negatives._matrix(pa.array([[2.0**70, 1.0], [2.0**70, 2.0], [1.0, 5.0], [0.0, 7.0]]), 2)
+    shard = negatives.Shard(np.arange(4), np.array(["a", "a", "b", "b"], object), rows, [np.zeros((1, 1)), np.zeros((1, 1))])
+    assert shard.positives(9, "a", rows[0], 2) == [(2**140 + 2, 1), (2**140 + 1, 0)]
+    assert shard.positives(9, "b", np.array([0, 3]), 2) == [(21, 3), (15, 2)]
+
+
+def test_query_counts_each_copy_of_a_row(spark, tmp_path):
+    """Repeated positives, negatives and anchors, and one id with two vectors."""
+    rows = [r for r in _rows(500) if None not in r and None not in r[1] and len(r[1]) == 6 and all(abs(x) < 9 for x in r[1])]
+    rows += rows[::7] + rows[100:101] + rows[::3] * 2 + [(200, rows[4][1], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["op13_hard_negatives"](spark, str(tmp_path)).collect()))
+    assert got == _contract(rows) and len(set(got)) < len(got)
