@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import devices, ingest, outbox, policy, rules, series, validate
-from ..session import cut_lineage
+from ..session import cut_lineage, stored_once
 from ..settings import Settings
 from ..sources.rules_config import rules_frame, shipped_rules
 from . import fixtures as fx
@@ -521,11 +521,22 @@ def _(spark, sf):
     )
 
 
-def _run_counters(spark, sf):
-    rows = cut_lineage(checked(spark, sf))  # parsed once, read by several counters
+def _run_counters(spark, sf, rows=None, events=None):
+    """Counters of all messages; ``rows`` (checked messages) and ``events`` if the caller has them."""
+    rows = _parsed_once(spark, sf) if rows is None else rows
     readings = validate.valid_readings(rows)
     stored = ingest.dedup_readings(readings).withColumns({"store_raw": F.lit(True), "kept": F.col("copies")})
-    return agg.pipeline_counters(rows, stored, fx.rule_events(spark, sf))
+    return agg.pipeline_counters(rows, stored, _names(fx.rule_events(spark, sf)) if events is None else events)
+
+
+def _parsed_once(spark, sf):
+    """The checked messages in columns, of which each reader takes only its own; the bytes sent stay behind."""
+    return stored_once(checked(spark, sf).drop("payload"))
+
+
+def _names(events):
+    """Event type and severity of each event, found once for all counts by them."""
+    return stored_once(events.select("event_type", "severity"))
 
 
 @query("d22_retained_bytes", """
@@ -686,7 +697,8 @@ def _(spark, sf):
 def _(spark, sf):
     from .report import report_lines
 
+    rows, events = _parsed_once(spark, sf), _names(fx.rule_events(spark, sf))
     return report_lines(
-        _run_counters(spark, sf), agg.latency_summary(fx.latencies(spark, sf)),
-        agg.count_by(fx.rule_events(spark, sf), "severity"), agg.count_by(fx.quality_logs(spark, sf), "error_type"),
+        _run_counters(spark, sf, rows, events), agg.latency_summary(fx.latencies(spark, sf)),
+        agg.count_by(events, "severity"), agg.count_by(validate.quality_rows(rows), "error_type"),
     )
