@@ -1,7 +1,7 @@
 """Token counts without token ids.
 
 Texts are cut into pre-tokens by the tokenizer's own pattern. The pieces of each distinct
-pre-token are counted once, and a document's tokens are the sum over its pre-token
+pre-token are counted once in a batch, and a document's tokens are the sum over its pre-token
 frequencies. Pre-tokens of a bounded head (at most ``HEAD`` of the commonest in a sample of
 about ``HEAD_TEXTS`` texts, some 30 bytes each) are joined by broadcast, so that only the rare
 rest is shuffled. The head is a cache: any head gives the same counts.
@@ -18,6 +18,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,31 @@ def counted(texts: DataFrame, path: str, col: str) -> DataFrame:
     return texts.mapInPandas(run, f"{fields}, n bigint")
 
 
+def weighted(words: DataFrame, path: str) -> DataFrame:
+    """(_k1, _k2, n, copies) of rows (_k1, _k2, rare, n, copies): ``n`` times the tokens of the word, if there is one.
+
+    Rows come sorted, so a word's rows follow each other and a batch counts it once. Nothing but
+    work depends on that: a word with many rows is split over tasks, and so are rows without one.
+    """
+    bound_batches(words.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for frame in frames:
+            codes, own = pd.factorize(frame["rare"])
+            each = []
+            for i in range(0, len(own), 1_000):
+                each += [len(e.ids) for e in tokenizer.encode_batch(own[i:i + 1_000].tolist(), add_special_tokens=False)]
+            # A null word has the code -1, so it takes the last weight.
+            yield frame.assign(n=frame["n"].to_numpy() * np.asarray([*each, 1], "int64")[codes]).drop(columns="rare")
+
+    near = words.hint("rebalance", F.col("rare")).sortWithinPartitions("rare")
+    return near.select("_k1", "_k2", "rare", "n", "copies").mapInPandas(run, "_k1 bigint, _k2 bigint, n bigint, copies bigint")
+
+
 def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every row."""
     special = _special_pattern(path)
@@ -83,17 +109,10 @@ def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
         # Tokens of known pieces, and times of a rare one; the null piece only counts the row.
         F.sum(F.when(F.col("piece").isNull(), 0).otherwise(F.coalesce("n", F.lit(1)))).alias("n"),
         F.count(F.when(F.col("piece").isNull(), True)).alias("copies"))
-    by_row = cut_lineage(by_row)
-
-    rare = by_row.where(F.col("rare").isNotNull())
-    vocabulary = counted(rare.select(F.col("rare").alias("word")).distinct(), path, "word")
-    rest = rare.join(vocabulary.withColumnRenamed("n", "each"), F.col("rare") == F.col("word")).select(
-        "_k1", "_k2", (F.col("n") * F.col("each")).alias("n"), F.lit(0).cast("long").alias("copies"))
     whole = counted(docs.where(odd).select("_k1", "_k2", "text"), path, "text").select(
         "_k1", "_k2", "n", F.lit(0).cast("long").alias("copies"))
     # Copies of a row share its key: the sum over all of them is shared out again.
-    total = by_row.where(F.col("rare").isNull()).select("_k1", "_k2", "n", "copies").unionByName(
-        rest).unionByName(whole).groupBy("_k1", "_k2").agg((F.sum("n") / F.sum("copies")).cast("long").alias("pieces"))
+    total = weighted(by_row, path).unionByName(whole).groupBy("_k1", "_k2").agg((F.sum("n") / F.sum("copies")).cast("long").alias("pieces"))
     size = docs.select("doc", "_k1", "_k2", F.octet_length("text").cast("long").alias("n_bytes"),
                        F.when(odd, F.lit(0)).otherwise(F.size(F.split("text", special)) - 1).alias("specials"))
     return size.join(total, ["_k1", "_k2"]).select(
