@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from . import characters as C
 from . import text as T
 from .components import components, in_blocks, linked
-from .tables import bound_batches, cut_lineage, row_key, small_enough
+from .tables import bound_batches, cut_lineage, perhaps_in, row_key, small_enough
 
 SHARE = 75
-#: Up to so many line keys, lines are found by broadcast (some 40 bytes a key).
-BROADCAST_LINES = 1_000_000
+#: Up to so many line keys, lines are found by broadcast (some 90 bytes a key).
+BROADCAST_LINES = 100_000
 #: Up to so many bytes, the texts of candidate lines are broadcast to their pairs.
 BROADCAST_BYTES = 8 << 20
 #: Up to so many groups, their best lines are broadcast (some 100 bytes each).
@@ -75,7 +75,10 @@ def band_rows(lines: DataFrame) -> DataFrame:
 
 def line_texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
     """(k1, line): the wanted lines."""
-    wanted = F.broadcast(keys) if small_enough(keys, BROADCAST_LINES) else keys
+    n = keys.count()
+    if n > BROADCAST_LINES:
+        lines = perhaps_in(lines, "k1", keys, n)  # so that few of the others are exchanged
+    wanted = F.broadcast(keys) if n <= BROADCAST_LINES else keys
     return cut_lineage(lines.join(wanted, "k1", "left_semi").groupBy("k1").agg(F.first("line").alias("line")))
 
 
@@ -146,12 +149,15 @@ def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     links = linked(band_rows(texts), none, lambda pairs: verified(pairs, texts), lambda rows: compared(rows, texts), rounds=1)
     labels = cut_lineage(components(links).withColumnRenamed("node", "k1"))
     # A line is in the group of its component, or else in that of its exact copies.
-    labels = F.broadcast(labels) if small_enough(labels, BROADCAST_LINES) else labels
+    few = small_enough(labels, BROADCAST_LINES)
+    labels = F.broadcast(labels) if few else labels
     places = lines.select("doc", "pos", "k1", "k2").join(labels, "k1", "left").select(
         "doc", "pos", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(0).alias("g2"))
-    groups = cut_lineage(places.groupBy("g1", "g2").agg(F.min(F.struct("doc", "pos")).alias("best"), F.count("*").alias("n")).where(
-        F.col("n") > 1).select("g1", "g2", "best"))
-    groups = F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups
+    groups = places.groupBy("g1", "g2").agg(F.min(F.struct("doc", "pos")).alias("best"), F.count("*").alias("n")).where(
+        F.col("n") > 1).select("g1", "g2", "best")
+    if few:  # else both sides of the next join read one exchange of the lines
+        groups = cut_lineage(groups)
+        groups = F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups
     gone = places.join(groups, ["g1", "g2"]).where((F.col("doc") != F.col("best.doc")) | (F.col("pos") != F.col("best.pos")))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
