@@ -1,12 +1,14 @@
 """Connected components by repeated contraction."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut_lineage
+from .tables import cut_lineage, removed, shared_folder, stored_at
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,28 +16,45 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points a node at its smallest neighbour, follows the pointers to their ends
     by doubling, and contracts the edges to those ends; rounds are logarithmic in the
-    number of nodes, and all states are checkpointed. An empty table gives an empty table.
+    number of nodes. All states are tables of their own, which go when the next one is
+    there. An empty table gives an empty table.
     """
-    left = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")))
+    spark = edges.sparkSession
+    base = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    steps = count()
+    paths: dict[str, str] = {}
+
+    def state(name: str, rows: DataFrame) -> DataFrame:
+        path = f"{base}/{name}-{next(steps)}"
+        new = stored_at(rows, path)
+        if name in paths:
+            removed(spark, paths[name])
+        paths[name] = path
+        return new
+
+    left = state("left", edges.select("a", "b").where(F.col("a") != F.col("b")))
     labels = None
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(
+        parent = state("parent", both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("node"), F.least("a", "m").alias("root")))
         while True:
-            further = parent.join(parent.select(F.col("node").alias("mid"), F.col("root").alias("end")), F.col("root") == F.col("mid"))
+            ends = parent.select(F.col("node").alias("mid"), F.col("root").alias("end"))
+            further = state("further", parent.join(ends, F.col("root") == F.col("mid")).select("node", "root", "end"))
+            parent = further.select("node", F.col("end").alias("root"))
             if further.where(F.col("end") != F.col("root")).isEmpty():
                 break
-            parent = cut_lineage(further.select("node", F.col("end").alias("root")))
         if labels is None:
-            labels = parent
+            labels = state("labels", parent)
         else:
-            labels = cut_lineage(labels.join(parent.toDF("n", "r"), F.col("root") == F.col("n"), "left").select(
+            labels = state("labels", labels.join(parent.toDF("n", "r"), F.col("root") == F.col("n"), "left").select(
                 "node", F.coalesce("r", "root").alias("root")))
         a, b = parent.toDF("na", "ra"), parent.toDF("nb", "rb")
-        left = cut_lineage(left.join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb")).where(
+        left = state("left", left.join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb")).where(
             F.col("ra") != F.col("rb")).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if left.isEmpty():
+            labels = cut_lineage(labels)
+            removed(spark, base)
             return labels
 
 
